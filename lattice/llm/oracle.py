@@ -1,3 +1,53 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-ORACLE: dict[str, str] = {}
+from __future__ import annotations
+
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+_QUALITY = rf"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, {_WORDS} AS words,
+             list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+windows AS (SELECT doc_id, unnest(range(1, len(words) - 1)) AS pos, words FROM w WHERE len(words) > 2),
+grams AS (SELECT doc_id, pos, words[pos] || ' ' || words[pos + 1] || ' ' || words[pos + 2] AS g FROM windows),
+again AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([pos, pos + 1, pos + 2]) AS p FROM again) GROUP BY doc_id),
+m AS (SELECT w.doc_id, host, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) AS BIGINT) AS n_lines,
+        CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN covered USING (doc_id)),
+rules AS (SELECT host, unnest(['short', 'repetition', 'symbols', 'duplicate_lines', 'word_length']) AS rule,
+            unnest([n_words < 50, 100 * n_repeat_words > 50 * n_words, 10 * n_symbols > word_chars, 2 * n_dup_lines > n_lines,
+                    word_chars < 2 * n_words OR word_chars > 15 * n_words]) AS failed FROM m),
+hosts AS (SELECT host, rule, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CAST(failed AS INT)) AS DOUBLE) AS f FROM rules GROUP BY ALL),
+means AS (SELECT rule, sum(f) / sum(n) AS mean, sum(n) AS total, count(*) AS h FROM hosts GROUP BY rule),
+spread AS (SELECT rule, mean, sum(n * (f / n - mean) ** 2) / any_value(total) - mean * (1 - mean) * any_value(h) / any_value(total) AS between_hosts
+           FROM hosts JOIN means USING (rule) GROUP BY rule, mean),
+prior AS (SELECT rule, mean, CASE WHEN between_hosts > 0 THEN least(greatest(mean * (1 - mean) / between_hosts - 1, 1.0), 1e6) ELSE 1e6 END AS k FROM spread),
+verdict AS (SELECT host, max((f + mean * k) / (n + k)) > 0.5 AS host_rejected FROM hosts JOIN prior USING (rule) GROUP BY host)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT host_rejected AS kept, host_rejected FROM m JOIN verdict USING (host)
+"""
+
+_TRIM = r"regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')"
+_LINES = rf"""
+WITH p AS (SELECT doc_id, coalesce(source, '') AS host, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+totals AS (SELECT host, count(*) AS total FROM p GROUP BY host),
+l AS (SELECT host, unnest(list_distinct(list_transform(ls, lambda x: {_TRIM}))) AS line FROM p),
+boiler AS (SELECT host, list(line) AS bad FROM (SELECT host, line, count(*) AS n FROM l WHERE line <> '' GROUP BY ALL) JOIN totals USING (host)
+           WHERE n >= 5 AND n / total > 0.1 GROUP BY host),
+j AS (SELECT doc_id, ls, list_filter(ls, lambda x: NOT list_contains(coalesce(bad, []), {_TRIM})) AS kept FROM p LEFT JOIN boiler USING (host))
+SELECT doc_id, CAST(len(list_filter(ls, lambda x: {_TRIM} <> '')) AS BIGINT) AS n_lines, CAST(len(ls) - len(kept) AS BIGINT) AS n_dropped, array_to_string(kept, chr(10)) AS text FROM j
+"""
+
+_REST = r"regexp_extract(coalesce(url, ''), '(?s)^.*?://([^?#]*)', 1)"
+_FITS = " ".join(
+    f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'"
+    for h, p in (("example.org", "/en/1"), ("example.org", "/es/"), ("com", "/fr/"), ("com", "/de/"), ("org", "/"))
+)
+_URLS = rf"""
+WITH r AS (SELECT page_id, translate(regexp_extract({_REST}, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract({_REST}, '(?s)^[^/]*(/.*)$', 1) AS path FROM pages),
+f AS (SELECT *, CASE {_FITS} END AS rule FROM r)
+SELECT *, CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM f
+"""
+
+ORACLE: dict[str, str] = {"op5_quality_rules": _QUALITY, "op7_line_dedup": _LINES, "op9_url_filters": _URLS}
