@@ -50,4 +50,30 @@ f AS (SELECT *, CASE {_FITS} END AS rule FROM r)
 SELECT *, CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM f
 """
 
-ORACLE: dict[str, str] = {"op5_quality_rules": _QUALITY, "op7_line_dedup": _LINES, "op9_url_filters": _URLS}
+
+
+def _mixing(keep: float, temper: dict[str, float], rounds: int) -> str:
+    """Raking unrolled: one CTE for each margin of each round."""
+    margins, steps, last = list(temper), [], "r0"
+    for k in range(1, rounds * len(margins) + 1):
+        m = margins[(k - 1) % len(margins)]
+        steps.append(f"r{k} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN whole > 0 THEN least(weight * t_{m} / whole, tokens) ELSE 0 END AS weight) FROM (SELECT * EXCLUDE (whole), sum(weight) OVER (PARTITION BY {m}) AS whole FROM {last}))")
+        last = f"r{k}"
+    aims = ", ".join(f"pow(sum(tokens) OVER (PARTITION BY {m}), {e}) AS p_{m}" for m, e in temper.items())
+    totals = ", ".join(f"(SELECT sum(p) FROM (SELECT any_value(p_{m}) AS p FROM a GROUP BY {m})) AS s_{m}" for m in margins)
+    targets = ", ".join(f"p_{m} / s_{m} * {keep} * everything AS t_{m}" for m in margins)
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+             CASE WHEN contains(coalesce(text, ''), ' | ') THEN 'table' WHEN contains(coalesce(text, ''), '!! ') THEN 'loud' WHEN regexp_matches(coalesce(text, ''), '[#$%&*]{{3}}') THEN 'markup' ELSE 'prose' END AS topic,
+             CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS n_tokens FROM documents),
+cells AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL),
+a AS MATERIALIZED (SELECT *, {aims} FROM cells), s AS (SELECT {totals}, (SELECT sum(tokens) FROM cells) AS everything),
+r0 AS MATERIALIZED (SELECT source, lang, topic, tokens, {targets}, tokens AS weight, 0.0 AS whole FROM a, s),
+{", ".join(steps)},
+p AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN weight / tokens ELSE 0 END AS probability FROM {last})
+SELECT doc_id, source, lang, topic, n_tokens, round(probability, 9) AS probability FROM d JOIN p USING (source, lang, topic)
+WHERE CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) < probability
+"""
+
+
+ORACLE: dict[str, str] = {"op5_quality_rules": _QUALITY, "op7_line_dedup": _LINES, "op8_source_mixing": _mixing(0.6, {"source": 0.5, "lang": 0.7, "topic": 0.7}, 12), "op9_url_filters": _URLS}
