@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattice.llm import decontaminate, licenses, lines, mixing, quality, secrets, shards, simhash, urls
+from lattice.llm import decontaminate, hmm, licenses, lines, mixing, quality, secrets, shards, simhash, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan_licenses(_table(spark, sf_dir, "documents")))
 
 
+def op4_hmm_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(_table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.quality(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rejected")
@@ -56,6 +60,7 @@ QUERIES: dict[str, Query] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_license_scans": op3_license_scans,
+    "op4_hmm_lm_scoring": op4_hmm_lm_scoring,
     "op5_quality_rules": op5_quality_rules,
     "op6_rendezvous_sharding": op6_rendezvous_sharding,
     "op7_line_dedup": op7_line_dedup,
