@@ -35,7 +35,8 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_r
     Self-loops, repeated edges and either direction are accepted; rows with a null end are ignored.
     An empty edge table gives an empty result.
     """
-    pair = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).filter(F.col(src).isNotNull() & F.col(dst).isNotNull())
+    whole = edges.filter(F.col(src).isNotNull() & F.col(dst).isNotNull())
+    pair = whole.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
     nodes = pair.filter("u = v").select(F.col("u").alias("node"))
     now = materialize(pair.filter("u > v").distinct())
     state = _state(now)
