@@ -15,6 +15,8 @@ from lattice.plans.materialize import bounded_broadcast, materialize
 MARGINS = ("source", "lang", "topic")
 #: Share of all tokens to keep; exponents that temper the margins' shares; rounds of raking.
 KEEP, TEMPER, ROUNDS = 0.6, {"source": 0.5, "lang": 0.7, "topic": 0.7}, 12
+#: Rounds after which the plan is cut by a written table.
+CUT = 12
 #: Most cells that are raked in one task; more are raked by shuffles.
 CELLS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,7 +46,8 @@ def rake(cells: DataFrame, keep: float = KEEP, temper: dict[str, float] | None =
     shares tokens ** exponent. All margins aim at ``keep`` of all tokens; what a cell can't give stays unfilled.
     """
     temper, targets = temper or TEMPER, targets or {}
-    if cells.limit(most + 1).count() <= most:
+    few = cells.limit(most + 1).count() <= most
+    if few:
         cells = cells.coalesce(1)  # every window below then runs in one small task without a shuffle
     everything = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first()["t"]
     now = cells
@@ -58,7 +61,10 @@ def rake(cells: DataFrame, keep: float = KEEP, temper: dict[str, float] | None =
             total = held.agg(F.sum("power")).first()[0] or 1.0
             now = now.join(bounded_broadcast(held), m).withColumn(f"t_{m}", F.col("power") / F.lit(total) * keep * everything).drop("power")
     now = now.withColumn("weight", F.col("tokens").cast("double"))
-    for _ in range(rounds):
+    for k in range(rounds):
+        if k and k % CUT == 0:
+            now = materialize(now)
+            now = now.coalesce(1) if few else now
         for m in MARGINS:
             whole = F.sum("weight").over(Window.partitionBy(m))
             now = now.withColumn("weight", F.when(whole > 0, F.least(F.col("weight") * F.col(f"t_{m}") / whole, F.col("tokens").cast("double"))).otherwise(0.0))
