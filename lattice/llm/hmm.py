@@ -80,8 +80,11 @@ def lexicon(vocab: DataFrame, own: int = OWN, rare: int = RARE, top: int = TOP)
     total, distinct = (x or 0 for x in vocab.agg(F.sum("c"), F.count("*")).first())
     most = vocab.orderBy(F.desc("c"), "word").limit(top).collect()
     rank = {bytes(r["word"]): i for i, r in enumerate(most)}
-    rank.setdefault(END, len(rank))
-    counts = np.array([r["c"] for r in most] + [0] * (len(rank) - len(most)), np.int64)
+    counts = [r["c"] for r in most]
+    if END not in rank:
+        rank[END] = len(rank)
+        counts.append(vocab.filter(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
+    counts = np.array(counts, np.int64)
     inside = [w for w in rank][: own - 1]
     inside += [END] * (END not in inside)
     klass = np.array([0] * len(rank), np.uint16)
