@@ -51,6 +51,46 @@ SELECT *, CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') T
 """
 
 
+_SHARDS = """
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS step),
+d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS row FROM documents),
+c AS (SELECT row, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+        lambda a, b: xor(a // 256, step[xor(a % 256, b) + 1])), 4294967295) AS text_crc32 FROM d, crc),
+u AS (SELECT row, k, 1.0 / -ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || k), 1, 13) AS BIGINT) + 0.5) / CAST(4503599627370496 AS DOUBLE)) AS score FROM d, range(25) t(k)),
+b AS (SELECT row, arg_max(k, score) FILTER (k < 24) AS shard, arg_max(k, score) AS grown_shard FROM u GROUP BY row),
+s AS (SELECT doc_id, CAST(strlen(text) + 8 AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, CAST(shard AS INT) AS shard, CAST(grown_shard AS INT) AS grown_shard FROM d JOIN c USING (row) JOIN b USING (row))
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM s
+"""
+
+_KEYWORDS = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+#: Kind, regex, group and least characters of each rule of the scan, for DuckDB's regexes.
+_RULES = (
+    ("assign", rf"""({_KEYWORDS})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    ("access", "AKIA[A-Z0-9]+", 0, 18),
+    ("hex", "[0-9a-f]{16,}", 0, 16),
+    ("github", "gh[opsu]_[A-Za-z0-9]{36,}", 0, 0),
+    ("google", "AIza[A-Za-z0-9_-]{35}", 0, 0),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
+    ("private_key", "-----BEGIN (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----", 0, 0),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
+)
+
+
+def _found(k: int, kind: str, regex: str, group: int, least: int) -> str:
+    """Matches of a rule with their places: the pieces between matches and the matches themselves add up."""
+    quoted = regex.replace("'", "''")
+    return f"""SELECT doc_id, {k} AS k, '{kind}' AS kind, a, a + length(m) AS b FROM (SELECT doc_id, unnest(ms) AS m, unnest(gs) AS g, unnest(list_transform(range(1, len(ms) + 1),
+      lambda i: list_sum(list_transform(ps[:i], lambda p: length(p))) + coalesce(list_sum(list_transform(ms[:i - 1], lambda p: length(p))), 0))) AS a
+    FROM (SELECT doc_id, regexp_extract_all(text, '{quoted}') AS ms, regexp_extract_all(text, '{quoted}', {group}) AS gs, regexp_split_to_array(text, '{quoted}') AS ps FROM d WHERE regexp_matches(text, '{quoted}'))) WHERE length(g) >= {least}"""
+
+
+_SECRETS = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), s AS ({" UNION ALL ".join(_found(k, *r) for k, r in enumerate(_RULES))}),
+j AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+        string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT), ',' ORDER BY a, k) FILTER (k < 3) AS base, string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT), ',' ORDER BY a, k) AS spans FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN j USING (doc_id)
+"""
+
 
 def _mixing(keep: float, temper: dict[str, float], rounds: int) -> str:
     """Raking unrolled: one CTE for each margin of each round."""
@@ -65,7 +105,8 @@ def _mixing(keep: float, temper: dict[str, float], rounds: int) -> str:
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
              CASE WHEN contains(coalesce(text, ''), ' | ') THEN 'table' WHEN contains(coalesce(text, ''), '!! ') THEN 'loud' WHEN regexp_matches(coalesce(text, ''), '[#$%&*]{{3}}') THEN 'markup' ELSE 'prose' END AS topic,
-             CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS n_tokens FROM documents),
+             CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS BIGINT) AS n_tokens FROM documents),
 cells AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL),
 a AS MATERIALIZED (SELECT *, {aims} FROM cells), s AS (SELECT {totals}, (SELECT sum(tokens) FROM cells) AS everything),
 r0 AS MATERIALIZED (SELECT source, lang, topic, tokens, {targets}, tokens AS weight, 0.0 AS whole FROM a, s),
@@ -76,4 +117,4 @@ WHERE CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null'
 """
 
 
-ORACLE: dict[str, str] = {"op5_quality_rules": _QUALITY, "op7_line_dedup": _LINES, "op8_source_mixing": _mixing(0.6, {"source": 0.5, "lang": 0.7, "topic": 0.7}, 12), "op9_url_filters": _URLS}
+ORACLE: dict[str, str] = {"op5_quality_rules": _QUALITY, "op6_rendezvous_sharding": _SHARDS, "op10_secret_scans": _SECRETS, "op7_line_dedup": _LINES, "op8_source_mixing": _mixing(0.6, {"source": 0.5, "lang": 0.7, "topic": 0.7}, 12), "op9_url_filters": _URLS}
