@@ -42,16 +42,14 @@ def named_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
 def list_relations(relations: DataFrame, entities: DataFrame, predicate: str | None = None, subject: str | None = None, object_name: str | None = None, limit: int = 50) -> DataFrame:
     """(id, subject, subject_type, predicate, object, object_type, confidence, attributes) by id.
 
-    Name filters are applied to the entities before the joins. Without them the top rows are taken from the relations whose
-    ends exist, so only ``limit`` rows meet the names.
+    Name filters reduce the relations by id before the joins; each task keeps only its own first ``limit`` rows.
     """
     wanted = relations.filter(F.col("predicate") == predicate) if predicate else relations
-    ends = {"subject": entities, "object": entities}
     for end, name in (("subject", subject), ("object", object_name)):
         if name:
             ids = entities.filter(F.col("canonical_name") == name).select(F.col("id").alias(f"{end}_id"))
             wanted = wanted.join(bounded_broadcast(ids), f"{end}_id", "left_semi")
-    out = named_relations(wanted, ends["subject"])
+    out = named_relations(wanted, entities)
     out = out.select("id", "subject", "subject_type", "predicate", "object", "object_type", "confidence", "attributes")
     return _limited(out.orderBy("id"), limit)
 
