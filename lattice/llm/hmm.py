@@ -4,7 +4,7 @@ Tokens are words (A-Z lower-cased) and one end per document. A state emits a cla
 their own, all other words fall into classes by their last bytes. A word within such a class has the add-one smoothed share
 of its training count, all unseen words of a class together one count; so the model gives every text a probability.
 
-Counts cover the whole training part: they are summed in the workers, then by Spark. Only the ``TOP`` most
+Counts cover the whole training part: they are summed in the workers, then by Spark. At most ``TOP``
 frequent words are broadcast; counts of all others meet their occurrences in a shuffled join, where no word is
 hot any more. Each Baum-Welch round sums the expected counts of its tasks by class in a shuffle and brings the bounded
 matrices (classes times states) to the driver.
@@ -75,12 +75,31 @@ class Lexicon:
         return self.own + self.rare
 
 
+def frequent(vocab: DataFrame, top: int) -> list[tuple[bytes, int]]:
+    """At most ``top`` words with their counts, most frequent first, ties by word.
+
+    A histogram of counts, 32 steps an octave and so under 2,048 rows, gives the least count whose words are few enough; only those
+    leave the executors. Words of the step at the limit stay out together.
+    """
+    step = F.floor(F.log2("c") * 32).cast("long")
+    histogram = vocab.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()
+    taken, least = 0, None
+    for r in sorted(histogram, key=lambda r: -r["step"]):
+        taken += r["n"]
+        if taken > top:
+            break
+        least = r["step"]
+    if least is None:
+        return []
+    return sorted(((bytes(r["word"]), r["c"]) for r in vocab.filter(step >= least).collect()), key=lambda x: (-x[1], x[0]))
+
+
 def lexicon(vocab: DataFrame, own: int = OWN, rare: int = RARE, top: int = TOP) -> Lexicon:
     """From (word, c): totals, the ``top`` words and the sums of the rare classes."""
     total, distinct = (x or 0 for x in vocab.agg(F.sum("c"), F.count("*")).first())
-    most = vocab.orderBy(F.desc("c"), "word").limit(top).collect()
-    rank = {bytes(r["word"]): i for i, r in enumerate(most)}
-    counts = [r["c"] for r in most]
+    most = frequent(vocab, top)
+    rank = {w: i for i, (w, _) in enumerate(most)}
+    counts = [c for _, c in most]
     if END not in rank:
         rank[END] = len(rank)
         counts.append(vocab.filter(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
