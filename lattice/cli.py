@@ -107,7 +107,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             if a.command == "build":
                 _show(build.build(store, root, config, embedder, model), False)
             elif a.command == "extract":
-                found = {"ingest": build.ingest(store, str(root), config), "chunks_embedded": build.embed(store, embedder, "chunks"), "extract": build.extract(store, model, a.force), "mentions_embedded": build.embed(store, embedder, "mentions")}
+                found = {"ingest": build.ingest(store, str(root), config), "chunks_embedded": build.embed(store, embedder, "chunks"), "extract": build.extract(store, model, a.force, concurrency=config.get("llm", {}).get("concurrency", 4)), "mentions_embedded": build.embed(store, embedder, "mentions")}
                 _show(found, False)
             elif a.command == "resolve":
                 _show(build.resolve(store, config, model), False)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime
 from pathlib import Path
 
@@ -108,31 +109,33 @@ def embed(store: Store, embedder: Embedder, table: str) -> int:
 
 
 class _Extract:
-    """(chunk_id, entities, relations, error) for each chunk; a failed chunk has only the error."""
+    """(chunk_id, entities, relations, error) for each chunk; a failed chunk has only the error.
 
-    def __init__(self, model, entity_types: str, predicates: str):
-        self.model, self.entity_types, self.predicates = model, entity_types, predicates
+    ``concurrency`` calls of the model run at once in a worker; answers keep the chunks' order.
+    """
+
+    def __init__(self, model, entity_types: str, predicates: str, concurrency: int = 1):
+        self.model, self.entity_types, self.predicates, self.concurrency = model, entity_types, predicates, concurrency
+
+    def one(self, content: str) -> tuple[list, list, str | None]:
+        try:
+            found = self.model.extract(content, self.entity_types, self.predicates)
+            return found["entities"], found["relations"], None
+        except Exception as e:  # the build goes on without this chunk, which stays due
+            return [], [], f"{type(e).__name__}: {e}"
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, whole, real = pa.string(), pa.int32(), pa.float64()
         entity = pa.struct([("surface_form", text), ("canonical_name", text), ("entity_type", text), ("attributes", text), ("char_start", whole), ("char_end", whole), ("confidence", real)])
         relation = pa.struct([("subject", text), ("predicate", text), ("object", text), ("attributes", text), ("confidence", real)])
         for b in batches:
-            entities, relations, errors = [], [], []
-            for content in b.column(1).to_pylist():
-                try:
-                    found = self.model.extract(content, self.entity_types, self.predicates)
-                    entities.append(found["entities"])
-                    relations.append(found["relations"])
-                    errors.append(None)
-                except Exception as e:  # the build goes on without this chunk, which stays due
-                    entities.append([])
-                    relations.append([])
-                    errors.append(f"{type(e).__name__}: {e}")
+            with ThreadPoolExecutor(self.concurrency) as pool:
+                found = list(pool.map(self.one, b.column(1).to_pylist()))
+            entities, relations, errors = ([x[k] for x in found] for k in range(3))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(entities, pa.list_(entity)), pa.array(relations, pa.list_(relation)), pa.array(errors, text)], ["chunk_id", "entities", "relations", "error"])
 
 
-def extract(store: Store, model, force: bool = False, at: str | None = None) -> dict[str, int]:
+def extract(store: Store, model, force: bool = False, at: str | None = None, concurrency: int = 1) -> dict[str, int]:
     """Extract all chunks of stale documents; order is by chunk id, then place in the answer.
 
     Mentions of a chunk that is extracted again are replaced. A document counts as extracted when one of its chunks succeeded or it
@@ -143,7 +146,7 @@ def extract(store: Store, model, force: bool = False, at: str | None = None) ->
     n_docs = due.count()
     types, predicates = (stats.vocabulary(df, c).first()[0] or "(none yet)" for df, c in ((graph.entities, "entity_type"), (graph.relations, "predicate")))
     todo = graph.chunks.join(due, "document_id", "left_semi").select(F.col("id").alias("chunk_id"), "content")
-    answers = materialize(todo.mapInArrow(_Extract(model, types, predicates), f"chunk_id long, {EXTRACTION}, error string"))
+    answers = materialize(todo.mapInArrow(_Extract(model, types, predicates, concurrency), f"chunk_id long, {EXTRACTION}, error string"))
     done = answers.filter("error is null")
     run = store.next_id("extraction_runs")
     ids = done.select("chunk_id")
@@ -251,7 +254,7 @@ def build(store: Store, corpus: str | Path, config: dict, embedder: Embedder, mo
     return {
         "ingest": ingest(store, str(corpus), config),
         "chunks_embedded": embed(store, embedder, "chunks"),
-        "extract": extract(store, model),
+        "extract": extract(store, model, concurrency=config.get("llm", {}).get("concurrency", 4)),
         "mentions_embedded": embed(store, embedder, "mentions"),
         "resolve": resolve(store, config, model),
         "induce": induce(store, config, model),

@@ -9,7 +9,7 @@ from lattice.config import DEFAULTS, load_config, merged
 from lattice.operators.upsert import upsert_entities
 from lattice.plans import build
 from lattice.sources.markdown import scan_markdown
-from lattice.sources.models import ChatModel, HashEmbedder, ParseFailure, PatternModel, ask
+from lattice.sources.models import CallLog, ChatModel, HashEmbedder, ParseFailure, PatternModel, ask
 from lattice.sources.store import Store, build_lock
 from lattice.streaming.ingest import stream_ingest
 
@@ -116,6 +116,13 @@ def test_attribute_merge(spark):
     assert (rows["C C"].id, rows["C C"].entity_type, rows["C C"].attributes) == (3, "my_type", "{}")
 
 
+def test_call_log(tmp_path):
+    model = ChatModel(lambda m: '{"entities": [], "relations": []}', log=CallLog(str(tmp_path / "calls.log")))
+    model.extract("text", "", "")
+    assert json.loads((tmp_path / "calls.log").read_text())["ok"]
+    CallLog(str(tmp_path / "gone" / "x"))({})
+
+
 def test_retries():
     answers = iter(["not json", '{"a": ', '```json\n{"entities": [], "relations": []}\n```'])
     said = []
