@@ -185,15 +185,18 @@ def _groups(sequences: list[np.ndarray], states: int) -> Iterator[tuple[np.ndarr
 
 
 def log_likelihoods(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
-    """Natural log probability of each class sequence, by the scaled forward recursion."""
-    out = np.zeros(len(sequences))
+    """Natural log probability of each class sequence, by the scaled forward recursion.
+
+    Arrays are states by sequences, so every operation runs along the sequences.
+    """
+    out, emit, back = np.zeros(len(sequences)), np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
     for codes, active, numbers in _groups(sequences, 2):
-        alpha = np.broadcast_to(model.start, (codes.shape[1], len(model.start)))
+        alpha = np.repeat(model.start[:, None], codes.shape[1], axis=1)
         log = np.zeros(codes.shape[1])
         for t, n in enumerate(active.tolist()):
-            alpha = (alpha[:n] @ model.move if t else alpha[:n]) * model.emit[codes[t, :n]]
-            scale = alpha.sum(axis=1)
-            alpha = alpha / scale[:, None]
+            alpha = (back @ alpha[:, :n] if t else alpha[:, :n]) * emit.take(codes[t, :n], axis=1)
+            scale = alpha.sum(axis=0)
+            alpha /= scale
             log[:n] += np.log(scale)
         out[numbers] = log
     return out
@@ -202,27 +205,32 @@ def log_likelihoods(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
 def expected_counts(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Baum-Welch expected counts of starts (S), transitions (S, S) and emissions (classes, S)."""
     states, classes = len(model.start), len(model.emit)
-    start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((classes, states))
+    start, move, counts = np.zeros(states), np.zeros((states, states)), np.zeros((states, classes))
+    emit, back = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
     for codes, active, _ in _groups(sequences, states):
         steps, n0 = codes.shape
-        alphas, scales, active = np.zeros((steps, n0, states)), np.ones((steps, n0)), active.tolist()
+        active, offsets = active.tolist(), np.concatenate([[0], np.cumsum(active)])
+        alphas, ratios = np.empty((states, offsets[-1])), np.empty((states, offsets[-1]))  # steps side by side, active ones only
         for t, n in enumerate(active):
-            alpha = (alphas[t - 1, :n] @ model.move if t else np.broadcast_to(model.start, (n, states))) * model.emit[codes[t, :n]]
-            scales[t, :n] = alpha.sum(axis=1)
-            alphas[t, :n] = alpha / scales[t, :n, None]
-        beta = np.ones((n0, states))
+            at = slice(offsets[t], offsets[t] + n)
+            seen = emit.take(codes[t, :n], axis=1)
+            alpha = (back @ alphas[:, offsets[t - 1] : offsets[t - 1] + n] if t else np.repeat(model.start[:, None], n, axis=1)) * seen
+            scale = alpha.sum(axis=0)
+            np.divide(alpha, scale, out=alphas[:, at])
+            np.divide(seen, scale, out=ratios[:, at])
+        beta = np.ones((states, n0))
         for t in range(steps - 1, 0, -1):
-            n = active[t]
-            ahead = model.emit[codes[t, :n]] * beta[:n] / scales[t, :n, None]
-            move += alphas[t - 1, :n].T @ ahead
-            alphas[t, :n] *= beta[:n]  # now the chances of the states
-            beta[:n] = ahead @ model.move.T
-        alphas[0] *= beta
-        start += alphas[0].sum(axis=0)
-        flat, gamma = codes.ravel(), alphas.reshape(-1, states)
+            n, at = active[t], slice(offsets[t], offsets[t] + active[t])
+            ahead = ratios[:, at] * beta[:, :n]
+            move += alphas[:, offsets[t - 1] : offsets[t - 1] + n] @ ahead.T
+            alphas[:, at] *= beta[:, :n]  # now the chances of the states
+            beta[:, :n] = model.move @ ahead
+        alphas[:, :n0] *= beta
+        start += alphas[:, :n0].sum(axis=1)
+        flat = np.concatenate([codes[t, :n] for t, n in enumerate(active)])
         for s in range(states):
-            emit[:, s] += np.bincount(flat, weights=gamma[:, s], minlength=classes)  # steps beyond an end weigh 0
-    return start, move * model.move, emit
+            counts[s] += np.bincount(flat, weights=alphas[s], minlength=classes)
+    return start, move * model.move, counts.T.copy()
 
 
 def _sequences(batch: pa.RecordBatch, column: int) -> list[np.ndarray]:
