@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattice.plans.materialize import bounded_broadcast, heavy_keys, lookup_join, materialize
+from lattice.plans.materialize import BROADCAST_ROWS, bounded_broadcast, heavy_keys, lookup_join, materialize
 
 RATIO = 0.1
 #: A line on fewer pages of a host is never boilerplate there.
@@ -41,8 +41,11 @@ def drop_lines(docs: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_P
     found = materialize(boilerplate(docs, ratio, least_pages, text_col, host_col))
     by_host = found.groupBy("host").agg(F.collect_set("key").alias("keys"))
     pages = docs.select(F.col(id_col).cast("long").alias("doc_id"), host.alias("host"), text.alias("text"))
-    counts = pages.groupBy("host").agg(F.count("*").alias("n"))
-    joined = lookup_join(pages, by_host, "host", heavy_keys(counts, "host", "n"))
+    if found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        joined = pages.join(F.broadcast(by_host), "host", "left")  # texts stay where they are and are read once
+    else:
+        counts = pages.groupBy("host").agg(F.count("*").alias("n"))
+        joined = lookup_join(pages, by_host, "host", heavy_keys(counts, "host", "n"))
     pair = lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit("lattice"), x).alias("b"))
     lines = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), F.regexp_replace(x, _TRIM, "").alias("bare")))
     kept = lambda: F.filter("lines", lambda x: (x["bare"] == "") | F.col("keys").isNull() | ~F.array_contains(F.coalesce("keys", F.array()), pair(x["bare"])))
