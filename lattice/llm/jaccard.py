@@ -1,0 +1,106 @@
+"""Groups of texts whose sets of word shingles have a Jaccard similarity of at least a threshold.
+
+A 64-bit SimHash can't select the candidates: at a Jaccard similarity of 0.8 two texts differ in some 10 of 64 bits, and a radius
+that holds most of these pairs (16 or more) leaves pigeonhole blocks of under 4 bits, which is a comparison of all pairs. So
+candidates share a band of minima (MinHash), which a pair at the threshold misses with a chance of
+(1 - 0.8 ** ROWS) ** BANDS = 5e-6, a closer pair with less, and every candidate is checked by its whole sets of shingles.
+
+In each bucket (texts that share a band) all texts are first checked against the bucket's least one, so a large group of near copies costs
+a check per copy and band. Pairs of a bucket that these links leave in different groups are then checked one by one.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lattice.llm.words import map_docs, raw
+from lattice.operators.components import connected_components
+from lattice.plans.materialize import bounded_broadcast, heavy_keys, lookup_join, materialize
+
+#: Words in a shingle, least similarity as a fraction, bands and minima per band.
+SHINGLE, SIMILAR, BANDS, ROWS = 5, (4, 5), 40, 6
+#: Shingles whose minima are taken at once.
+CHUNK = 1 << 11
+_RANDOM = np.random.default_rng(42)
+_TIMES = _RANDOM.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64, False) | np.uint64(1)
+_PLUS = _RANDOM.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64, False)
+
+
+def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of a text's word shingles; a shorter text is one shingle, also an empty one."""
+    words = text.lower().split()
+    k = max(1, min(size, len(words)))
+    digests = b"".join([xxhash.xxh64_digest(b" ".join(x), 42) for x in zip(*(words[i:] for i in range(k)), strict=False)]) or xxhash.xxh64_digest(b"", 42)
+    return np.unique(np.frombuffer(digests, np.int64))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """A signed 64-bit key for each band."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), CHUNK):
+        part = hashes[at : at + CHUNK].view(np.uint64)
+        least = np.minimum(least, (part * _TIMES + _PLUS).min(axis=1))
+    flat, width = least.tobytes(), 8 * ROWS
+    return [int.from_bytes(xxhash.xxh64_digest(flat[i * width : (i + 1) * width], i), "big", signed=True) for i in range(BANDS)]
+
+
+def _signature(doc_id: int | None, key: int, text: bytes) -> tuple:
+    own = shingles(text)
+    return doc_id, key, len(own), bands(own)
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) whose sets reach the similarity."""
+    pairs = materialize(pairs)
+    heavy = heavy_keys(pairs.groupBy("v").agg(F.count("*").alias("n")), "v", "n")
+    left = pairs.join(sets.select(F.col("key").alias("u"), F.col("shingles").alias("a")), "u")
+    both = lookup_join(left, sets.select(F.col("key").alias("v"), F.col("shingles").alias("b")), "v", heavy)
+    common, (over, under) = F.size(F.array_intersect("a", "b")), SIMILAR
+    return materialize(both.filter(under * common >= over * (F.size("a") + F.size("b") - common)).select("u", "v"))
+
+
+def components(signed: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, component) of the texts with a similar one; ``signed`` has (key, n, bands), ``texts`` (key, text) with repeats."""
+    rows = signed.select("key", "n", F.explode("bands").alias("band"))
+    buckets = materialize(rows.groupBy("band").agg(F.min("key").alias("hub"), F.max("key").alias("top")).filter("hub < top").select("band", "hub"))
+    shared = materialize(rows.join(bounded_broadcast(buckets), "band").distinct())
+    ends = materialize(shared.select("key").distinct())
+    some = texts.join(bounded_broadcast(ends), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    sets = materialize(map_docs(some, [F.col("key"), F.col("text")], "key long, shingles array<long>", lambda k, t: (k, shingles(t))))
+    star = materialize(shared.filter("key != hub").select(F.col("key").alias("u"), F.col("hub").alias("v")).distinct())  # hub is the least: u > v
+    near = similar(star, sets)
+    group = materialize(connected_components(near))
+    placed = shared.join(bounded_broadcast(group.withColumnRenamed("node", "key")), "key", "left").select("band", "key", "n", F.coalesce("component", "key").alias("component"))
+    placed = materialize(placed)
+    mixed = placed.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("band")
+    placed = placed.join(bounded_broadcast(materialize(mixed)), "band", "left_semi")
+    a = placed.select("band", F.col("key").alias("u"), F.col("n").alias("n"), F.col("component").alias("a"))
+    b = placed.select("band", F.col("key").alias("v"), F.col("n").alias("m"), F.col("component").alias("b"))
+    over, under = SIMILAR
+    apart = a.join(b, "band").filter((F.col("u") > F.col("v")) & (F.col("a") != F.col("b")) & (under * F.least("n", "m") >= over * F.greatest("n", "m")))
+    more = similar(apart.select("u", "v").distinct().join(star, ["u", "v"], "left_anti"), sets)
+    return group if more.isEmpty() else materialize(connected_components(near.unionByName(more)))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, key, root, component_id): a row for each row of ``docs``.
+
+    key is the hash of the text, root names its group and component_id is the smallest doc_id of the group. Null, empty and blank
+    texts are one group. A null doc_id keeps its row and never names a group unless all its members are null.
+    """
+    columns = [F.col(id_col).cast("long"), text_key(text_col), raw(text_col)]
+    signed = materialize(map_docs(docs, columns, "doc_id long, key long, n long, bands array<long>", _signature))
+    least = materialize(signed.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    found = components(signed, docs.select(columns[1].alias("key"), columns[2].alias("text")))
+    component = found.select(F.col("node").alias("key"), F.col("component").alias("root"))
+    placed = least.join(component, "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    table = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "root", "component_id")
+    return lookup_join(signed.select("doc_id", "key"), materialize(table), "key", heavy_keys(least, "key", "n"))
+
+
+def text_key(text_col: str):
+    """The hash that names a text."""
+    return F.xxhash64(raw(text_col))

@@ -209,14 +209,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate group, all columns kept.
 
+    Groups are those of five-word shingles with a Jaccard similarity of at least 0.8, which 3 bits of a SimHash mostly miss.
     The row with the smallest id of its group stays; of rows that repeat that id, the one with the least text.
     Rows with a null id can't be named by a decision and stay.
     """
     from pyspark.sql import Window
 
+    from lattice.llm.jaccard import similar_groups
     from lattice.llm.words import drop_ids
 
-    found = materialize(near_duplicates(docs, id_col, text_col))
+    found = materialize(similar_groups(docs, id_col, text_col))
     dropped = found.filter("doc_id != component_id").select(F.col("doc_id").alias(id_col))
     out = drop_ids(docs, dropped, id_col)
     again = materialize(found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(id_col)))

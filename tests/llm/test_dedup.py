@@ -116,3 +116,40 @@ def test_keep_one(docs, rows, clashing, empty):
     assert out.columns == clashing.columns
     assert out.count() == len(expected)
     assert simhash.keep_one(empty).count() == 0
+
+
+def plain_similar_groups(rows):
+    """(doc_id, least id of its group) by comparing the five-word shingles of all texts."""
+    split = [re.findall(r"[^\x20\x09-\x0D]+", lower(t or "")) for _, t in rows]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in split]
+    up = list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                up[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[root(i)] = min(least.get(root(i), d), d)
+    return [(d, least[root(i)]) for i, (d, _) in enumerate(rows)]
+
+
+def test_keep_one_finds_all_texts_of_four_fifths(spark):
+    """Chains of edited copies: similarities on both sides of 0.8, most of them over 3 bits apart."""
+    rng, data = random.Random(6), []
+    for _ in range(25):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(40, 300))]
+        for _ in range(4):
+            data.append((len(data), " ".join(words)))
+            for _ in range(rng.randrange(1, 1 + max(2, len(words) // 35))):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(5000)}"
+    groups = plain_similar_groups(data)
+    kept = {d for d, g in groups if d == g}
+    assert 25 < len(kept) < len({g[2] for g in plain_groups(data)})
+    out = simhash.keep_one(spark.createDataFrame(data, "doc_id long, text string").repartition(3))
+    assert {r.doc_id for r in out.collect()} == kept
