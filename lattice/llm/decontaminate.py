@@ -19,9 +19,9 @@ from lattice.llm.words import ALNUM, drop_ids, map_docs, raw
 from lattice.plans.materialize import materialize
 
 #: Words in a window, words from one window's start to the next, edits per word.
-WINDOW, STRIDE, ERROR_RATE = 25, 10, 0.2
+WINDOW, STRIDE, ERROR_RATE = 25, 1, 0.2
 #: Most bytes of test items that are sent to executors at once.
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 20
 
 HITS = "array<struct<item_id:long,distance:int,start:int,end:int>>"
 
@@ -32,7 +32,7 @@ def words(text: bytes) -> list[bytes]:
 
 
 def windows(item: list[bytes], window: int = WINDOW, stride: int = STRIDE) -> Iterator[list[bytes]]:
-    """The whole item if it is short, else windows at every stride and at its end."""
+    """The whole item if it is short, else windows at every stride and at its end; a stride above 1 loses edited passages between the windows."""
     last = len(item) - window
     if last <= 0:
         yield item
@@ -79,14 +79,13 @@ class Matcher:
     """Finds the windows of a block of test items in texts."""
 
     def __init__(self, items: list[tuple[int | None, bytes]], window: int = WINDOW, stride: int = STRIDE, error_rate: float = ERROR_RATE):
-        self.patterns: list[tuple[int | None, list[bytes], int]] = []
-        for item_id, text in items:
-            if item := words(text):
-                self.patterns += [(item_id, w, int(len(w) * error_rate)) for w in windows(item, window, stride)]
+        self.items = [(item_id, item) for item_id, text in items if (item := words(text))]
+        self.window, self.stride, self.error_rate = window, stride, error_rate
         self.found = None
 
     def _open(self) -> None:
-        """Built in the worker: the automaton isn't sent."""
+        """Built in the worker: the windows and the automaton aren't sent."""
+        self.patterns = [(item_id, w, int(len(w) * self.error_rate)) for item_id, item in self.items for w in windows(item, self.window, self.stride)]
         at: dict[str, list[tuple[int, int]]] = {}
         for number, (_, pattern, errors) in enumerate(self.patterns):
             for a, b in pieces(len(pattern), errors):
@@ -95,15 +94,15 @@ class Matcher:
         for piece, places in at.items():
             self.found.add_word(piece, (len(piece) - 1, places))
         self.found.make_automaton()
-        self.forward = [masks(p) for _, p, _ in self.patterns]
-        self.backward = [masks(p[::-1]) for _, p, _ in self.patterns]
+        self.forward: dict[int, dict[bytes, int]] = {}  # of the windows that were verified so far
+        self.backward: dict[int, dict[bytes, int]] = {}
 
     def __getstate__(self) -> dict:
-        return {"patterns": self.patterns, "found": None}
+        return {"items": self.items, "window": self.window, "stride": self.stride, "error_rate": self.error_rate, "found": None}
 
     def match(self, text: bytes) -> list[dict]:
         """For each item found: its least distance, and the first words (start, end exclusive) that have it."""
-        if not self.patterns:
+        if not self.items:
             return []
         if self.found is None:
             self._open()
@@ -127,6 +126,8 @@ class Matcher:
                 tried.add((number, start))
                 m, low = len(pattern), max(0, start - errors)
                 part = said[low : start + m + errors]
+                if number not in self.forward:
+                    self.forward[number], self.backward[number] = masks(pattern), masks(pattern[::-1])
                 distance, end = myers(self.forward[number], m, part)
                 if distance <= errors:
                     _, length = myers(self.backward[number], m, part[:end][::-1])

@@ -163,3 +163,14 @@ def test_urls(spark, limit):
     expected = [(i, *plain_url(u)) for i, u in [*enumerate([*URLS, URLS[3]]), (None, URLS[4])]]
     assert sorted(map(repr, got)) == sorted(map(repr, expected))
     assert urls.filter_urls(pages.limit(0), rule_bytes=limit).count() == 0
+
+
+def test_edited_passages_are_found_at_every_offset():
+    item = [f"w{i}" for i in range(64)]
+    matcher = decontaminate.Matcher([(1, " ".join(item).encode())])
+    for at in range(len(item) - 24):
+        part = item[at : at + 25]
+        for k in (2, 7, 12, 17, 22):
+            part[k] = "zz"
+        found = matcher.match(" ".join(["before", *part, "after"]).encode())
+        assert [(h["item_id"], h["distance"]) for h in found] == [(1, 5)], at
