@@ -210,21 +210,24 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``docs`` with one row of each near-duplicate group, all columns kept.
 
     Groups are those of five-word shingles with a Jaccard similarity of at least 0.8, which 3 bits of a SimHash mostly miss.
-    The row with the smallest id of its group stays; of rows that repeat that id, the one with the least text.
-    Rows with a null id can't be named by a decision and stay.
+    The row with the smallest id of its group stays; of rows of a group that repeat that id, the one with the least text.
+    Rows of different groups under one id are decided apart. Rows with a null id can't be named by a decision and stay.
     """
     from pyspark.sql import Window
 
-    from lattice.llm.jaccard import similar_groups
-    from lattice.llm.words import drop_ids
+    from lattice.llm.jaccard import similar_groups, text_key
 
     found = materialize(similar_groups(docs, id_col, text_col))
-    dropped = found.filter("doc_id != component_id").select(F.col("doc_id").alias(id_col))
-    out = drop_ids(docs, dropped, id_col)
-    again = materialize(found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(id_col)))
+    named = [F.col("doc_id").alias(id_col), F.col("key").alias("_lattice_key")]
+    on = [id_col, "_lattice_key"]
+    dropped = found.filter("doc_id != component_id").select(*named).distinct()
+    out = docs.withColumn("_lattice_key", text_key(text_col)).join(bounded_broadcast(dropped), on, "left_anti")
+    first = found.filter("doc_id = component_id")
+    again = materialize(first.groupBy("doc_id", "root").count().filter("count > 1").select("doc_id", "root"))
     if again.isEmpty():
-        return out
+        return out.select(*docs.columns)
+    again = materialize(first.join(bounded_broadcast(again), ["doc_id", "root"], "left_semi").select(*named, F.col("root").alias("_lattice_root")).distinct())
     again = bounded_broadcast(again)
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col, F.xxhash64(*docs.columns)))
-    one = out.join(again, id_col, "left_semi").withColumn("_lattice_rank", rank).filter("_lattice_rank = 1").select(*docs.columns)
-    return out.join(again, id_col, "left_anti").select(*docs.columns).unionByName(one)
+    rank = F.row_number().over(Window.partitionBy(id_col, "_lattice_root").orderBy(text_col, F.xxhash64(*docs.columns)))
+    one = out.join(again, on).withColumn("_lattice_rank", rank).filter("_lattice_rank = 1").select(*docs.columns)
+    return out.join(again, on, "left_anti").select(*docs.columns).unionByName(one)

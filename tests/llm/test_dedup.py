@@ -153,3 +153,10 @@ def test_keep_one_finds_all_texts_of_four_fifths(spark):
     assert 25 < len(kept) < len({g[2] for g in plain_groups(data)})
     out = simhash.keep_one(spark.createDataFrame(data, "doc_id long, text string").repartition(3))
     assert {r.doc_id for r in out.collect()} == kept
+
+
+def test_keep_one_decides_texts_under_one_id_apart(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    data = [(3, a), (5, a + " more"), (5, b), (7, c), (7, d), (7, d)]
+    out = simhash.keep_one(spark.createDataFrame(data, "doc_id long, text string"))
+    assert sorted(map(tuple, out.collect())) == [(3, a), (5, b), (7, c), (7, d)]
