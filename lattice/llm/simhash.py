@@ -15,7 +15,8 @@ query's component is skipped. Components over the forests are those over all lin
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,6 @@ TREE_ROWS = 1 << 16
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
-_OFFSET = np.arange(8, dtype=np.int64) * 256
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -42,13 +42,19 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     if not words:
         return 0
     k = min(shingle, len(words))
-    counts, total = np.zeros((8, 8), np.int64), len(words) - k + 1
+    counts, total = np.zeros(64, np.int64), len(words) - k + 1
     for at in range(0, total, CHUNK):
         part = words[at : at + CHUNK + k - 1]
         digests = b"".join([xxhash.xxh64_digest(b" ".join(x), 42) for x in zip(*(part[i:] for i in range(k)), strict=False)])
-        index = np.frombuffer(digests, np.uint8).reshape(-1, 8) + _OFFSET
-        counts += np.bincount(index.ravel(), minlength=2048).reshape(8, 256) @ _BITS
-    return int.from_bytes(np.packbits(counts.ravel() * 2 > total).tobytes(), "big", signed=True)
+        counts += bit_counts(np.frombuffer(digests, np.uint64)[:, None])
+    return int.from_bytes(np.packbits(counts * 2 > total).tobytes(), "big", signed=True)
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many rows of 64-bit words have each bit, in order of bytes, highest bit first."""
+    width = hashes.shape[1] * 8
+    index = np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, width) + np.arange(width, dtype=np.int64) * 256
+    return (np.bincount(index.ravel(), minlength=width * 256).reshape(width, 256) @ _BITS).ravel()
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -86,9 +92,9 @@ class BKTree:
                 node = nxt
             self.children[node][d] = at
 
-    def single(self, forest: Forest) -> list[int]:
-        """For each node the component of its whole subtree, or -1 where it has several."""
-        out = [forest.find(i) for i in range(len(self.values))]
+    def groups(self, of: list[int], forest: Forest) -> list[int]:
+        """For each node the root of its whole subtree, or -1 where it has several; ``of`` is each node's place in the forest."""
+        out = [forest.find(x) for x in of]
         for at in range(len(out) - 1, -1, -1):  # children come after their parents
             for child in self.children[at].values():
                 if out[child] != out[at]:
@@ -96,17 +102,16 @@ class BKTree:
                     break
         return out
 
-    def join(self, x: int, me: int, radius: int, forest: Forest, single: list[int]) -> None:
-        """Link position ``me``, of value ``x``, with the nodes within the radius that it isn't yet linked with."""
-        stack, find, own = [0], forest.find, forest.find(me)
+    def search(self, x: int, radius: int, known: Callable[[int], bool]) -> Iterator[int]:
+        """Nodes within the radius of ``x``; a node that is ``known`` is left out with its subtree."""
+        stack = [0]
         while stack:
             node = stack.pop()
-            if single[node] >= 0 and find(single[node]) == own:
+            if known(node):
                 continue
             d = (self.values[node] ^ x).bit_count()
             if d <= radius:
-                forest.link(me, node)
-                own = find(me)
+                yield node
             stack += [c for e, c in self.children[node].items() if d - radius <= e <= d + radius]
 
 
@@ -114,20 +119,16 @@ def shard_links(tree: list[int], queries: list[int], radius: int = RADIUS) -> li
     """A spanning forest of the links between ``tree`` and ``queries``, both distinct; equal lists are one shard."""
     same = queries is tree
     values = tree if same else [*tree, *queries]
-    forest, n = Forest(len(values)), len(tree)
-    if len(values) <= 12:
-        for i in range(n):
-            for j in range(i + 1 if same else n, len(values)):
-                if (values[i] ^ values[j]).bit_count() <= radius:
-                    forest.link(i, j)
-    else:
-        bk, again = BKTree(tree), 32
-        single = bk.single(forest)
-        for k, x in enumerate(queries):
-            if k == again:
-                single, again = bk.single(forest), 2 * again
-            bk.join(x, k if same else n + k, radius, forest, single)
-    return [(values[i], values[r]) for i in range(len(values)) if (r := forest.find(i)) != i]
+    forest, n, again = Forest(len(values)), len(tree), 32
+    bk, find = BKTree(tree), forest.find
+    single = bk.groups(list(range(n)), forest)
+    for k, x in enumerate(queries):
+        if k == again:
+            single, again = bk.groups(list(range(n)), forest), 2 * again
+        me = k if same else n + k
+        for node in bk.search(x, radius, lambda node: single[node] >= 0 and find(single[node]) == find(me)):  # noqa: B023
+            forest.link(me, node)
+    return [(values[i], values[r]) for i in range(len(values)) if (r := find(i)) != i]
 
 
 class _Shards:
@@ -168,24 +169,51 @@ class _Shards:
         return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["u", "v"])
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, tree_rows: int = TREE_ROWS) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints (column fp), spanning the components of all links."""
-    edges = np.linspace(0, 64, radius + 2).astype(int).tolist()
-    keys = [F.shiftrightunsigned("fp", lo).bitwiseAND((1 << (hi - lo)) - 1) * (radius + 1) + i for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))]
-    rows = distinct.select("fp", F.explode(F.array(*keys)).alias("shard"))
+def deal(rows: DataFrame, by: str, tree_rows: int = TREE_ROWS) -> DataFrame:
+    """Rows (shard, ...) grouped and sorted by shard and part, with part and side after the shard; ``by`` tells the rows of a shard apart.
+
+    Part -1 is a whole shard. A shard above ``tree_rows`` is cut: sub-shard i is the tree (side 0) of parts (i, i..cuts-1) and the
+    queries (side 1) of parts (0..i-1, i), so that every two sub-shards meet once and no task holds more than two of them.
+    """
+    others = [c for c in rows.columns if c != "shard"]
     large = rows.groupBy("shard").count().filter(F.col("count") > tree_rows).select("shard", F.ceil(F.col("count") / tree_rows).cast("long").alias("cuts"))
     large = materialize(large)
-    whole = rows.select("shard", F.lit(-1).cast("long").alias("part"), F.lit(0).alias("side"), "fp")
+    out = rows.select("shard", F.lit(-1).cast("long").alias("part"), F.lit(0).alias("side"), *others)
     if not large.isEmpty():
         large = bounded_broadcast(large)
-        whole = whole.join(large, "shard", "left_anti")
-        cut = rows.join(large, "shard").withColumn("own", F.pmod(F.xxhash64("fp"), "cuts"))
-        # sub-shard i is the tree of parts (i, i..cuts-1) and the queries of parts (0..i-1, i)
-        tree = cut.select("shard", F.explode(F.expr("transform(sequence(own, cuts - 1), j -> own * cuts + j)")).alias("part"), F.lit(0).alias("side"), "fp")
-        query = cut.filter("own > 0").select("shard", F.explode(F.expr("transform(sequence(0L, own - 1), i -> i * cuts + own)")).alias("part"), F.lit(1).alias("side"), "fp")
-        whole = whole.unionByName(tree).unionByName(query)
-    dealt = whole.repartition("shard", "part").sortWithinPartitions("shard", "part")
-    return dealt.mapInArrow(_Shards(radius), "u long, v long")
+        out = out.join(large, "shard", "left_anti")
+        cut = rows.join(large, "shard").withColumn("own", F.pmod(F.xxhash64(by), "cuts"))
+        tree = cut.select("shard", F.explode(F.expr("transform(sequence(own, cuts - 1), j -> own * cuts + j)")).alias("part"), F.lit(0).alias("side"), *others)
+        query = cut.filter("own > 0").select("shard", F.explode(F.expr("transform(sequence(0L, own - 1), i -> i * cuts + own)")).alias("part"), F.lit(1).alias("side"), *others)
+        out = out.unionByName(tree).unionByName(query)
+    return out.repartition("shard", "part").sortWithinPartitions("shard", "part")
+
+
+def dealt_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each shard and part of a dealt table."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(i).to_numpy() for i in range(2)])
+        cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in pairwise(cuts):
+            if held and now != tuple(key[:, a]):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            now = tuple(key[:, a])
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, tree_rows: int = TREE_ROWS) -> DataFrame:
+    """Edges (u, v) between distinct fingerprints (column fp), spanning the components of all links."""
+    edges = np.linspace(0, 64, radius + 2).astype(int).tolist()
+    keys = [F.shiftrightunsigned("fp", lo).bitwiseAND((1 << (hi - lo)) - 1) * (radius + 1) + i for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))]
+    rows = distinct.select(F.explode(F.array(*keys)).alias("shard"), "fp")
+    return deal(rows, "fp", tree_rows).mapInArrow(_Shards(radius), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, tree_rows: int = TREE_ROWS) -> DataFrame:
@@ -193,7 +221,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     component_id is the smallest doc_id that links of at most ``radius`` differing bits reach, itself included. Null, empty and
     blank texts have fingerprint zero and link like any other. A null doc_id keeps its row and never names a group unless
-    all its members are null. Repeated rows are rows of their own. Other columns are ignored; an empty table gives no rows.
+    all its members are null. Repeated rows are rows of their own; very long texts are taken whole. Other columns are ignored; an empty
+    table gives no rows.
     """
     fps = materialize(fingerprints(docs, id_col, text_col))
     least = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
@@ -209,13 +238,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate group, all columns kept.
 
-    Groups are those of five-word shingles with a Jaccard similarity of at least 0.8, which 3 bits of a SimHash mostly miss.
+    Groups are those of ``similar_groups``: five-word shingles with a Jaccard similarity of at least 0.8, found by wider fingerprints, as
+    the 3 of 64 bits of :func:`near_duplicates` miss most of these.
     The row with the smallest id of its group stays; of rows of a group that repeat that id, the one with the least text.
     Rows of different groups under one id are decided apart. Rows with a null id can't be named by a decision and stay.
     """
     from pyspark.sql import Window
 
-    from lattice.llm.jaccard import similar_groups, text_key
+    from lattice.llm.similar import similar_groups, text_key
 
     found = materialize(similar_groups(docs, id_col, text_col))
     named = [F.col("doc_id").alias(id_col), F.col("key").alias("_lattice_key")]

@@ -4,9 +4,10 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import xxhash
 
-from lattice.llm import simhash
+from lattice.llm import simhash, similar
 
 
 def lower(t):
@@ -106,18 +107,6 @@ def test_split_shards(spark):
         assert components(values, found) == components(values, pairs)
 
 
-def test_keep_one(docs, rows, clashing, empty):
-    groups = plain_groups(rows)
-    kept = [r for r, g in zip(rows, groups, strict=True) if r[0] is None or r[0] == g[2]]
-    named = {r[0]: r for r in kept if r[0] is not None}
-    expected = sorted(map(repr, [*named.values(), *(r for r in kept if r[0] is None)]))
-    assert sorted(repr(tuple(r)) for r in simhash.keep_one(docs).collect()) == expected
-    out = simhash.keep_one(clashing)
-    assert out.columns == clashing.columns
-    assert out.count() == len(expected)
-    assert simhash.keep_one(empty).count() == 0
-
-
 def plain_similar_groups(rows):
     """(doc_id, least id of its group) by comparing the five-word shingles of all texts."""
     split = [re.findall(r"[^\x20\x09-\x0D]+", lower(t or "")) for _, t in rows]
@@ -135,8 +124,9 @@ def plain_similar_groups(rows):
                 up[root(i)] = root(j)
     least = {}
     for i, (d, _) in enumerate(rows):
-        least[root(i)] = min(least.get(root(i), d), d)
-    return [(d, least[root(i)]) for i, (d, _) in enumerate(rows)]
+        if d is not None:
+            least[root(i)] = min(least.get(root(i), d), d)
+    return [(d, least.get(root(i))) for i, (d, _) in enumerate(rows)]
 
 
 def test_keep_one_finds_all_texts_of_four_fifths(spark):
@@ -160,3 +150,43 @@ def test_keep_one_decides_texts_under_one_id_apart(spark):
     data = [(3, a), (5, a + " more"), (5, b), (7, c), (7, d), (7, d)]
     out = simhash.keep_one(spark.createDataFrame(data, "doc_id long, text string"))
     assert sorted(map(tuple, out.collect())) == [(3, a), (5, b), (7, c), (7, d)]
+
+
+def test_keep_one(docs, rows, clashing, empty):
+    """Groups of five-word shingles at 0.8; a null id can't be named, so its rows stay."""
+    groups = plain_similar_groups([(r[0], r[1]) for r in rows])
+    kept = [r for r, g in zip(rows, groups, strict=True) if r[0] is None or r[0] == g[1]]
+    named = {(r[0], repr(g)): r for r, g in zip(rows, groups, strict=True) if r[0] is not None and r[0] == g[1]}
+    expected = sorted(map(repr, [*named.values(), *(r for r in kept if r[0] is None)]))
+    assert sorted(repr(tuple(r)) for r in simhash.keep_one(docs).collect()) == expected
+    out = simhash.keep_one(clashing)
+    assert out.columns == clashing.columns
+    assert sorted(repr(tuple(r)[:5]) for r in out.collect()) == expected
+    assert simhash.keep_one(empty).count() == 0
+
+
+def test_trees_of_similar_texts_keep_all_groups(spark):
+    """One passage in all texts, with copies of very different closeness; shards cut into sub-shards give the same groups."""
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(60)]
+    data = []
+    for k in range(60):
+        own = passage + [f"w{rng.randrange(4000)}" for _ in range(rng.choice([5, 12, 20, 200]))]
+        for _ in range(rng.randrange(1, 4)):
+            data.append((len(data), " ".join(own)))
+            own[rng.randrange(60, len(own))] = f"x{k}"
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    expected = sorted(plain_similar_groups(data))
+    assert len({g for _, g in expected}) not in (1, len(data))
+    for limit in (simhash.TREE_ROWS, 10):
+        found = similar.similar_groups(docs, tree_rows=limit)
+        assert sorted((r.doc_id, r.component_id) for r in found.collect()) == expected
+
+
+def test_wide_fingerprints_of_similar_sets_are_close():
+    rng = np.random.default_rng(5)
+    for n in (9, 50, 500):
+        for _ in range(200):
+            both = rng.integers(-(1 << 63), 1 << 63, n)
+            a, b = (similar.wide_fingerprint(np.unique(np.concatenate([both, rng.integers(-(1 << 63), 1 << 63, n // 9)]))) for _ in range(2))
+            assert sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a, b, strict=True)) <= similar.WIDE
