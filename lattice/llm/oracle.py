@@ -4,6 +4,7 @@ from __future__ import annotations
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
+_RULE_NAMES = ("short", "repetition", "symbols", "duplicate_lines", "word_length")
 _QUALITY = rf"""
 WITH w AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, {_WORDS} AS words,
              list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
@@ -22,9 +23,13 @@ means AS (SELECT rule, sum(f) / sum(n) AS mean, sum(n) AS total, count(*) AS h F
 spread AS (SELECT rule, mean, sum(n * (f / n - mean) ** 2) / any_value(total) - mean * (1 - mean) * any_value(h) / any_value(total) AS between_hosts
            FROM hosts JOIN means USING (rule) GROUP BY rule, mean),
 prior AS (SELECT rule, mean, CASE WHEN between_hosts > 0 THEN least(greatest(mean * (1 - mean) / between_hosts - 1, 1.0), 1e6) ELSE 1e6 END AS k FROM spread),
-verdict AS (SELECT host, max((f + mean * k) / (n + k)) > 0.5 AS host_rejected FROM hosts JOIN prior USING (rule) GROUP BY host)
+limits AS (SELECT rule, mean, k, least(greatest(mean + 3.0 * sqrt(mean * (1 - mean) / (k + 1)), 0.2), 0.5) AS bound FROM prior),
+rated AS (SELECT host, rule, n, f, (f + mean * k) / (n + k) AS rate, bound FROM hosts JOIN limits USING (rule)),
+verdict AS (SELECT host, CAST(any_value(n) AS BIGINT) AS host_docs, max(CAST(rate > bound AS INT)) = 1 AS host_rejected,
+    {", ".join(f"CAST(max(f) FILTER (rule = '{r}') AS BIGINT) AS fails_{r}, round(max(rate) FILTER (rule = '{r}'), 6) AS rate_{r}, round(max(bound) FILTER (rule = '{r}'), 6) AS limit_{r}" for r in _RULE_NAMES)}
+  FROM rated GROUP BY host)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT host_rejected AS kept, host_rejected FROM m JOIN verdict USING (host)
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT host_rejected AS kept, verdict.* FROM m JOIN verdict USING (host)
 """
 
 _TRIM = r"regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')"

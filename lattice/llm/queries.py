@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lattice.llm import decontaminate, hmm, licenses, lines, mixing, quality, secrets, shards, simhash, urls
 
@@ -33,7 +34,9 @@ def op4_hmm_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.quality(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rejected")
+    rates = [F.round(f"{part}_{r}", 6).alias(f"{part}_{r}") for r in quality.rules() for part in ("rate", "limit")]
+    host = ["host", "host_docs", "host_rejected", *(f"fails_{r}" for r in quality.rules())]
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *host, *rates)
 
 
 def op6_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,6 +52,44 @@ def test_bad_hosts_go_and_small_hosts_are_shrunk(spark):
     assert found[301].kept
 
 
+def plain_rates(fails, n):
+    """Shrunk rate and limit of each host from its failures and documents, by the formulas of the docstring."""
+    total = sum(n.values())
+    m = sum(fails.values()) / total
+    between = sum(n[h] * (fails[h] / n[h] - m) ** 2 for h in n) / total - m * (1 - m) * len(n) / total
+    k = min(max(m * (1 - m) / between - 1, 1.0), 1e6) if between > 0 else 1e6
+    return {h: (fails[h] + m * k) / (n[h] + k) for h in n}, min(max(m + 3 * math.sqrt(m * (1 - m) / (k + 1)), 0.2), 0.5)
+
+
+def test_registered_verdicts_follow_from_hosts(spark, tmp_path):
+    """The registered query, on hosts of very different rates: its verdicts, rates and limits against plain Python and SQL."""
+    rng = np.random.default_rng(4)
+    good, bad = " ".join(f"word{i}" for i in range(60)), " ".join(f"#$%&{i}" for i in range(60))
+    data, n = [], 0
+    for host, rate in [*((f"h{i}", 0.02) for i in range(25)), ("junk", 0.9), ("mixed", 0.35), (None, 0.0), ("tiny", 1.0)]:
+        for _ in range(2 if host == "tiny" else 80):
+            data.append((n, bad if rng.random() < rate else good, host))
+            n += 1
+    spark.createDataFrame(data, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op5_quality_rules"](spark, str(tmp_path)).collect()
+    counts = Counter(h or "" for _, _, h in data)
+    rates, limit = plain_rates({h: sum(t == bad and (s or "") == h for _, t, s in data) for h in counts}, counts)
+    for r in got:
+        assert r.rate_symbols == pytest.approx(rates[r.host], abs=2e-6)
+        assert r.limit_symbols == pytest.approx(limit, abs=2e-6)
+        assert r.host_rejected == (rates[r.host] > limit)
+        assert r.kept == (not r.base_failed and not r.host_rejected)
+    assert {r.host for r in got if r.host_rejected} >= {"junk"}
+    assert any(r.host_rejected and not r.base_failed for r in got)
+    assert all(r.kept for r in got if r.host.startswith("h"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    expected = con.sql(ORACLE["op5_quality_rules"])
+    order = sorted(expected.columns)
+    shown = lambda names, rows: sorted(repr([r[names.index(k)] for k in order]) for r in rows)
+    assert shown(list(got[0].asDict()), got) == shown(expected.columns, expected.fetchall())
+
+
 def test_shards(docs, rows, clashing, empty):
     got = shards.shard(docs).collect()
     assert len(got) == len(rows)
