@@ -97,29 +97,36 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 """
 
 
-def _mixing(keep: float, temper: dict[str, float], rounds: int) -> str:
+def _mixing(keep: float, temper: dict[str, float], lift: float, rounds: int) -> str:
     """Raking unrolled: one CTE for each margin of each round."""
     margins, steps, last = list(temper), [], "r0"
     for k in range(1, rounds * len(margins) + 1):
         m = margins[(k - 1) % len(margins)]
-        steps.append(f"r{k} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN whole > 0 THEN least(weight * t_{m} / whole, tokens) ELSE 0 END AS weight) FROM (SELECT * EXCLUDE (whole), sum(weight) OVER (PARTITION BY {m}) AS whole FROM {last}))")
+        steps.append(f"r{k} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN whole > 0 THEN weight * t_{m} / whole ELSE 0 END AS weight) FROM (SELECT * EXCLUDE (whole), sum(weight) OVER (PARTITION BY {m}) AS whole FROM {last}))")
         last = f"r{k}"
-    aims = ", ".join(f"pow(sum(tokens) OVER (PARTITION BY {m}), {e}) AS p_{m}" for m, e in temper.items())
-    totals = ", ".join(f"(SELECT sum(p) FROM (SELECT any_value(p_{m}) AS p FROM a GROUP BY {m})) AS s_{m}" for m in margins)
-    targets = ", ".join(f"p_{m} / s_{m} * {keep} * everything AS t_{m}" for m in margins)
+    targets = ",\n".join(
+        f"""h_{m} AS (SELECT {m}, sum(tokens) AS held FROM cells GROUP BY {m} HAVING sum(tokens) > 0),
+c_{m} AS (SELECT {m}, {lift} * held / (SELECT sum(held) FROM h_{m}) AS most, least(pow(held, {e}) / (SELECT sum(pow(held, {e})) FROM h_{m}), {lift} * held / (SELECT sum(held) FROM h_{m})) AS share FROM h_{m}),
+g_{m} AS MATERIALIZED (SELECT {m}, share + (most - share) * (SELECT coalesce((1 - sum(share)) / nullif(sum(most - share), 0), 0) FROM c_{m}) AS t_{m} FROM c_{m})"""
+        for m, e in temper.items()
+    )
+    joins = " ".join(f"LEFT JOIN g_{m} USING ({m})" for m in margins)
+    columns = ", ".join(f"coalesce(t_{m}, 0) AS t_{m}" for m in margins)
+    residuals = ", ".join(f"(SELECT max(abs(w - t)) FROM (SELECT sum(weight) AS w, max(t_{m}) AS t FROM {last} GROUP BY {m})) AS residual_{m}" for m in margins)
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
              CASE WHEN contains(coalesce(text, ''), ' | ') THEN 'table' WHEN contains(coalesce(text, ''), '!! ') THEN 'loud' WHEN regexp_matches(coalesce(text, ''), '[#$%&*]{{3}}') THEN 'markup' ELSE 'prose' END AS topic,
-             CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
-]+')) AS BIGINT) AS n_tokens FROM documents),
+             CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens FROM documents),
 cells AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL),
-a AS MATERIALIZED (SELECT *, {aims} FROM cells), s AS (SELECT {totals}, (SELECT sum(tokens) FROM cells) AS everything),
-r0 AS MATERIALIZED (SELECT source, lang, topic, tokens, {targets}, tokens AS weight, 0.0 AS whole FROM a, s),
+{targets},
+r0 AS MATERIALIZED (SELECT source, lang, topic, tokens, {columns}, tokens / (SELECT sum(tokens) FROM cells) AS weight, 0.0 AS whole FROM cells {joins}),
 {", ".join(steps)},
-p AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN weight / tokens ELSE 0 END AS probability FROM {last})
-SELECT doc_id, source, lang, topic, n_tokens, round(probability, 9) AS probability FROM d JOIN p USING (source, lang, topic)
+a AS (SELECT least({keep} * sum(tokens), min(tokens / weight) FILTER (weight > 0)) AS total, {residuals} FROM {last}),
+p AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN weight * total / tokens ELSE 0 END AS probability, a.* FROM {last}, a)
+SELECT doc_id, source, lang, topic, n_tokens, round(probability, 9) AS probability, round(total, 3) AS total, {", ".join(f"round(residual_{m}, 7) AS residual_{m}" for m in margins)}
+FROM d JOIN p USING (source, lang, topic)
 WHERE CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) < probability
 """
 
 
-ORACLE: dict[str, str] = {"op5_quality_rules": _QUALITY, "op6_rendezvous_sharding": _SHARDS, "op10_secret_scans": _SECRETS, "op7_line_dedup": _LINES, "op8_source_mixing": _mixing(0.6, {"source": 0.5, "lang": 0.7, "topic": 0.7}, 12), "op9_url_filters": _URLS}
+ORACLE: dict[str, str] = {"op5_quality_rules": _QUALITY, "op6_rendezvous_sharding": _SHARDS, "op10_secret_scans": _SECRETS, "op7_line_dedup": _LINES, "op8_source_mixing": _mixing(0.6, {"source": 0.5, "lang": 0.7, "topic": 0.7}, 1.25, 16), "op9_url_filters": _URLS}

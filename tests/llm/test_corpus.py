@@ -135,17 +135,44 @@ def test_lines(spark, clashing, empty):
     assert lines.drop_lines(empty).count() == 0
 
 
-def test_raking(spark):
-    cells = [("a", "en", "x", 100), ("a", "fr", "x", 50), ("b", "en", "y", 300), ("b", "fr", "x", 30), ("c", "en", "x", 0)]
+def margin(rows, at):
+    out = defaultdict(float)
+    for r in rows:
+        out[r[at]] += r.weight
+    return out
+
+
+@pytest.mark.parametrize("most", [mixing.CELLS, 1])
+def test_raking(spark, most):
+    """Given and tempered targets are met; the total is the largest that the cells can give."""
+    cells = [("a", "en", "x", 100), ("a", "fr", "x", 50), ("b", "en", "y", 300), ("b", "fr", "x", 30), ("b", "fr", "y", 60), ("a", "en", "y", 10), ("c", "en", "x", 0)]
     df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
-    share = {"source": spark.createDataFrame([("a", 3.0), ("b", 1.0)], "source string, share double"), "lang": spark.createDataFrame([("en", 0.75), ("fr", 0.25)], "lang string, share double")}
-    out = {r[:3]: r for r in map(tuple, mixing.rake(df, 0.2, {"topic": 1.0, "source": 1, "lang": 1}, share, 30).collect())}
-    by = lambda k, v: sum(r[4] for key, r in out.items() if key[k] == v)
-    assert by(1, "en") == pytest.approx(0.2 * 480 * 0.75, rel=0.2)
-    assert all(r[4] <= r[3] for r in out.values())
-    assert out["c", "en", "x"][4] == 0
-    spread = {r[:3]: r[4] for r in map(tuple, mixing.rake(df, 0.2, {"topic": 1.0, "source": 1, "lang": 1}, share, 30, most=1).collect())}
-    assert spread == pytest.approx({k: r[4] for k, r in out.items()})
+    share = {"source": spark.createDataFrame([("a", 3.0), ("b", 1.0), ("c", 9.0)], "source string, share double"), "lang": spark.createDataFrame([("en", 0.75), ("fr", 0.25)], "lang string, share double")}
+    out = mixing.rake(df, 0.9, {"topic": 0.5, "source": 1, "lang": 1}, share, most=most).collect()
+    total = out[0].total
+    assert total == pytest.approx(sum(r.weight for r in out))
+    assert margin(out, 0) == pytest.approx({"a": 0.75 * total, "b": 0.25 * total, "c": 0})
+    assert margin(out, 1) == pytest.approx({"en": 0.75 * total, "fr": 0.25 * total})
+    t = {r.topic: r.target for r in mixing.shares(df, "topic", 0.5).collect()}
+    assert margin(out, 2) == pytest.approx({k: v * total for k, v in t.items()})
+    assert max(r.weight / r.tokens for r in out if r.tokens) == pytest.approx(1.0)
+    assert max(r[k] for r in out for k in ("residual_source", "residual_lang", "residual_topic")) <= mixing.TOLERANCE
+    few = mixing.rake(df, 0.01, {"topic": 0.5, "source": 1, "lang": 1}, share, most=most).collect()
+    assert sum(r.weight for r in few) == pytest.approx(0.01 * 550)
+
+
+def test_contradicting_targets_are_reported(spark):
+    df = spark.createDataFrame([("a", "en", "x", 100), ("b", "fr", "x", 100)], "source string, lang string, topic string, tokens long")
+    share = {"source": spark.createDataFrame([("a", 0.9), ("b", 0.1)], "source string, share double"), "lang": spark.createDataFrame([("en", 0.5), ("fr", 0.5)], "lang string, share double")}
+    out = mixing.rake(df, 0.5, {"topic": 1.0}, share, 16).collect()
+    assert max(out[0].residual_source, out[0].residual_lang) > 0.3
+
+
+def test_tiny_names_do_not_hold_back_the_total(spark):
+    df = spark.createDataFrame([("big", "en", "x", 10**9), ("small", "en", "x", 10**6), ("tiny", "en", "x", 3)], "source string, lang string, topic string, tokens long")
+    out = {r.source: r for r in mixing.rake(df).collect()}
+    assert out["big"].total == pytest.approx(0.6 * (10**9 + 10**6 + 3))
+    assert out["tiny"].weight / 3 == pytest.approx(1.25 * out["big"].total / (10**9 + 10**6 + 3))
 
 
 def test_mixing(docs, rows, clashing, empty):
@@ -160,6 +187,27 @@ def test_mixing(docs, rows, clashing, empty):
     assert mixing.mix(docs, keep=1.0, temper=dict.fromkeys(mixing.MARGINS, 1.0)).count() == sum(cell(r) in full for r in rows)
 
 
+def test_kept_tokens_meet_the_margins(spark):
+    """Many documents: the tokens kept by the hash lie near the raked targets of every margin."""
+    rng = np.random.default_rng(9)
+    source, lang = rng.choice(["a", "b", "c"], 20_000, p=[0.7, 0.2, 0.1]).tolist(), rng.choice(["en", "fr"], 20_000, p=[0.8, 0.2]).tolist()
+    df = spark.createDataFrame([(i, "w " * 10 + ("| x" if i % 9 == 0 else "y z"), s, x) for i, (s, x) in enumerate(zip(source, lang, strict=True))], "doc_id long, text string, source string, lang string")
+    kept = mixing.mix(df).collect()
+    n = sum(r.n_tokens for r in kept)
+    assert n == pytest.approx(kept[0].total, rel=0.03)
+    slim = df.select(*mixing.with_cell(df), mixing.tokens(df.text).alias("tokens"))
+    for m in mixing.MARGINS:
+        for r in mixing.shares(slim, m, mixing.TEMPER[m]).collect():
+            assert sum(k.n_tokens for k in kept if k[m] == r[0]) / n == pytest.approx(r.target, rel=0.08)
+
+
+def test_a_topic_column_is_used(docs):
+    from pyspark.sql import functions as F
+
+    kept = mixing.mix(docs.withColumn("subject", F.when(F.col("doc_id") % 2 == 0, "even")), topic_col="subject")
+    assert {r.topic for r in kept.collect()} == {"even", ""}
+
+
 def enumerate_paths(m, q):
     total, start, move, emit = 0.0, np.zeros(2), np.zeros((2, 2)), np.zeros((3, 2))
     for z in itertools.product(range(2), repeat=len(q)):
