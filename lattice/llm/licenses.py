@@ -31,6 +31,13 @@ TEMPLATES = (
     ("gpl", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software"),
@@ -123,36 +130,51 @@ class Licenses:
             if up := self.of_state.get(a.link[state]):
                 self.of_state[state] = [*self.of_state.get(state, []), *up]
         n = len(self.vocabulary)
-        self.pairs, self.phrase_pairs = np.zeros((n + 1, n + 1), bool), np.zeros((n + 1, n + 1), bool)
+        self.pairs, self.phrase_pairs, self.alone = np.zeros((n + 1, n + 1), bool), np.zeros((n + 1, n + 1), bool), np.zeros(n + 1, bool)
         for k, s in enumerate(sequences):
             self.pairs[s[:-1], s[1:]] = True
             if k < len(phrases):
                 self.phrase_pairs[s[:-1], s[1:]] = True
+            if len(s) == 1:
+                self.alone[s] = True
+        notices = self.lengths[len(phrases) :]
+        self.least = min([LEAST_MATCH, *(x for x in notices if x)])
+        shortest = {label: min(x for x, (other, _) in zip(notices, templates, strict=True) if other == label) for label, _ in templates}
+        said = {label: max(x for x, (_, other) in zip(self.lengths, phrases, strict=False) if other == label) for _, label in phrases}
+        self.share = {label: n / shortest.get(label, n) for label, n in said.items()}  # of the shortest template, by its label's longest phrase
 
     def scan(self, text: bytes) -> Scan:
         words, get, none = text.translate(ALNUM).split(), self.vocabulary.get, len(self.vocabulary)
         ids = np.array([get(w, none) for w in words], np.int32)
-        hit = self.pairs[ids[:-1], ids[1:]] if len(ids) > 1 else np.zeros(0, bool)
-        if not hit.any():
-            return Scan(len(words), [], [], 0.0)
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], hit, [0])).astype(np.int8)))
-        starts, ends = edges[::2], edges[1::2]
-        said = np.concatenate(([0], np.cumsum(self.phrase_pairs[ids[:-1], ids[1:]])))
-        of_use = (ends - starts + 1 >= LEAST_MATCH) | (said[ends] > said[starts])
         places: list[tuple[int, str]] = []
         matches: list[tuple[int, int, int]] = []
-        for start, end in zip(starts[of_use].tolist(), ends[of_use].tolist(), strict=True):  # a run of words start to end inclusive
+        for start, end in self._runs(ids):
             self._stream(ids[start : end + 1].tolist(), start, places, matches)
         spans, share = self._chain(matches)
-        said_share = max((self.lengths[k] / min(self.lengths[len(self.phrases) + i] for i, (m, _) in enumerate(self.templates) if m == label) for _, label in places for k, (_, x) in enumerate(self.phrases) if x == label), default=0.0) if places else 0.0
-        return Scan(len(words), sorted(places), spans, min(1.0, max(share, said_share)))
+        return Scan(len(words), sorted(places), spans, min(1.0, max([share, *(self.share[label] for _, label in places)])))
+
+    def _runs(self, ids: np.ndarray) -> list[tuple[int, int]]:
+        """Stretches of words, start to end inclusive, outside of which no phrase and no long match can lie."""
+        hit = self.pairs[ids[:-1], ids[1:]] if len(ids) > 1 else np.zeros(0, bool)
+        alone = self.alone[ids]
+        if not hit.any() and not alone.any():
+            return []
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], hit, [0])).astype(np.int8)))
+        starts, ends = edges[::2], edges[1::2]
+        said = np.concatenate(([0], np.cumsum(self.phrase_pairs[ids[:-1], ids[1:]])))
+        single = np.concatenate(([0], np.cumsum(alone)))
+        of_use = (ends - starts + 1 >= self.least) | (said[ends] > said[starts]) | (single[ends + 1] > single[starts])
+        out = list(zip(starts[of_use].tolist(), ends[of_use].tolist(), strict=True))
+        for start, end in out:
+            alone[start : end + 1] = False
+        return sorted(out + [(i, i) for i in np.flatnonzero(alone).tolist()])
 
     def _stream(self, tokens: list[int], at: int, places: list, matches: list) -> None:
         """Matching statistics of a run: phrase places, and maximal matches (start, end exclusive, state)."""
         a, state, length, before = self.automaton, 0, 0, (0, 0)
         for i, token in enumerate([*tokens, -1]):
             before, (state, length) = (state, length), a.step(state, length, token)
-            if length <= before[1] and before[1] >= LEAST_MATCH:
+            if length <= before[1] and before[1] >= self.least:
                 matches.append((at + i - before[1], at + i, before[0]))
             for k in self.of_state.get(state, ()):
                 if self.lengths[k] <= length:
@@ -162,8 +184,8 @@ class Licenses:
         """Spans (start, end, template) with enough covered tokens, and the largest share of a template."""
         base, open_, done = len(self.phrases), {}, []
         for start, end, state in matches:
-            for number, last in self.automaton.ends[state]:
-                if number < base:
+            for number, last in sorted(self.automaton.ends[state]):
+                if number < base or end - start < min(LEAST_MATCH, self.lengths[number]):
                     continue
                 first = last - (end - start) + 1
                 chain = open_.get(number)
@@ -184,9 +206,10 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, id_col:
     """(doc_id, n_words, places, spans, score): a row for each row of ``docs``.
 
     places are (label, first word) of every phrase; spans are (label, first word, end word exclusive, number of the template).
-    Words are numbered from 0. score is the largest share of a template, or of the shortest notice of a phrase's label, that is
-    covered. A null or empty text has no words and score 0. Repeated rows are rows of their own, ids may be null. Other
-    columns are ignored; an empty table gives no rows.
+    Words are numbered from 0. score is the largest share of a template that is covered, or of the shortest template of a phrase's label
+    that the phrase makes; a phrase whose label has no template scores 1. A null or empty text has no words and score 0; very long
+    texts are scanned whole. Repeated rows are rows of their own, ids may be null. Other columns are ignored; an empty table
+    gives no rows.
     """
     known = Licenses(phrases, templates)
 
@@ -200,7 +223,7 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, id_col:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The counts, first and last place, and joined labels of :func:`scan_licenses`."""
+    """The counts, first and last place, joined labels and spans (label:template:start:end) of :func:`scan_licenses`."""
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     starts = F.transform("places", lambda p: p["start"])
     return found.select(
@@ -212,4 +235,5 @@ def digest(found: DataFrame) -> DataFrame:
         joined(F.col("places.label")).alias("base_labels"),
         joined(F.concat("places.label", "spans.label")).alias("labels"),
         "score",
+        F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["label"], s["template"], s["start"], s["end"])), ",").alias("spans"),
     )

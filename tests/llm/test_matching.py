@@ -100,6 +100,72 @@ def test_template_spans():
     assert known.scan(b"the software is here and the license of this work is in the public domain").spans == []
 
 
+def test_phrases_of_one_word_and_labels_without_template():
+    known = licenses.Licenses((("gpl", "gpl"), ("public domain", "pd")), (("x", "alpha beta"), ("y", "one two three four five six")))
+    found = known.scan(b"under the gpl now, GPL public domain gpl")
+    assert found.places == [(2, "gpl"), (4, "gpl"), (5, "pd"), (7, "gpl")]
+    assert found.score == 1.0
+    assert known.scan(b"gpl").places == [(0, "gpl")]
+    assert known.scan(b"say alpha beta").spans == [(1, 3, 0)]
+    assert known.scan(b"one two three four").spans == []
+    assert known.scan(b"").score == known.scan(b"nothing here").score == 0.0
+
+
+def plain_scan(phrases, templates, text):
+    """Places, spans and score without an automaton: every stretch of the text is looked up in every template."""
+    holds = lambda t, part: [j for j in range(len(t) - len(part) + 1) if t[j : j + len(part)] == part]
+    n = len(text)
+    every = [t for _, t in templates] + [p for p, _ in phrases]
+    longest = [max(k for k in range(i + 2) if k == 0 or any(holds(t, text[i + 1 - k : i + 1]) for t in every)) for i in range(n)]
+    chains, done = {}, []
+    for i in range(n):
+        k = longest[i]
+        if not k or i + 1 < n and longest[i + 1] > k:
+            continue  # not maximal
+        start, end = i + 1 - k, i + 1
+        for number, (_, t) in enumerate(templates):
+            for first in holds(t, text[start:end]) if k >= min(licenses.LEAST_MATCH, len(t)) else []:
+                last, chain = first + k - 1, chains.get(number)
+                overlap = max(0, chain["end"] - start) if chain else 0
+                if chain and start - chain["end"] <= licenses.WIDEST_GAP and 0 <= first + overlap - chain["last"] - 1 <= 2 * licenses.WIDEST_GAP:
+                    chain.update(end=end, last=last, covered=chain["covered"] + k - overlap)
+                elif not chain or k > chain["covered"] or start >= chain["end"]:
+                    done += [(number, chain)] if chain else []
+                    chains[number] = {"start": start, "end": end, "covered": k, "last": last}
+    done += chains.items()
+    good = [(number, c) for number, c in done if c["covered"] >= min(licenses.LEAST_COVER, len(templates[number][1]))]
+    places = sorted((i, label) for p, label in phrases for i in holds(text, p))
+    shares = [c["covered"] / len(templates[number][1]) for number, c in good]
+    for _, label in places:
+        notices, said = [len(t) for x, t in templates if x == label], max(len(p) for p, x in phrases if x == label)
+        shares.append(said / min(notices) if notices else 1.0)
+    return places, sorted({(c["start"], c["end"], number) for number, c in good}), min(1.0, max(shares, default=0.0))
+
+
+def test_places_spans_and_scores_against_brute_force():
+    rng = random.Random(21)
+    chains = 0
+    for _ in range(150):
+        pool = [f"t{i}" for i in range(40)]
+        templates = tuple((rng.choice("abc"), rng.sample(pool, rng.randrange(2, 30)) * rng.randrange(1, 3)) for _ in range(4))
+        phrases = tuple((rng.sample(pool, rng.randrange(1, 4)), rng.choice("abcd")) for _ in range(3))
+        known = licenses.Licenses(tuple((" ".join(p), x) for p, x in phrases), tuple((x, " ".join(t)) for x, t in templates))
+        text = []
+        for _ in range(rng.randrange(6)):
+            t = rng.choice(templates)[1]
+            at = rng.randrange(len(t))
+            text += t[at : at + rng.randrange(1, 25)] + [rng.choice([*pool, "zz"]) for _ in range(rng.randrange(4))]
+            text += rng.choice(phrases)[0] * rng.randrange(2)
+        found = known.scan(" ".join(text).encode())
+        places, spans, score = plain_scan(phrases, templates, text)
+        assert found.n_words == len(text)
+        assert found.places == places
+        assert found.spans == spans
+        assert found.score == pytest.approx(score)
+        chains += len(spans)
+    assert chains > 100
+
+
 PLAIN = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 12), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 18), ("hex", re.compile("[0-9a-f]+"), 0, 16)]
 
 
