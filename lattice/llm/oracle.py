@@ -38,7 +38,7 @@ WITH p AS (SELECT doc_id, coalesce(source, '') AS host, string_split(coalesce(te
 totals AS (SELECT host, count(*) AS total FROM p GROUP BY host),
 l AS (SELECT host, unnest(list_distinct(list_transform(ls, lambda x: {_TRIM}))) AS line FROM p),
 boiler AS (SELECT host, list(line) AS bad FROM (SELECT host, line, count(*) AS n FROM l WHERE line <> '' GROUP BY ALL) JOIN totals USING (host)
-           WHERE n >= 5 AND n / total > 0.1 GROUP BY host),
+           WHERE n >= 2 AND n / total > 0.1 GROUP BY host),
 j AS (SELECT doc_id, ls, list_filter(ls, lambda x: NOT list_contains(coalesce(bad, []), {_TRIM})) AS kept FROM p LEFT JOIN boiler USING (host))
 SELECT doc_id, CAST(len(list_filter(ls, lambda x: {_TRIM} <> '')) AS BIGINT) AS n_lines, CAST(len(ls) - len(kept) AS BIGINT) AS n_dropped, array_to_string(kept, chr(10)) AS text FROM j
 """

@@ -122,17 +122,46 @@ def test_weighted_shards(spark):
     assert len(moved) == pytest.approx(600, abs=120)
 
 
-def test_lines(spark, clashing, empty):
+def plain_lines(rows, ratio=0.1, least=2):
+    """(doc_id, n_lines, n_dropped, text) of rows (doc_id, text, host)."""
+    bare = lambda x: x.strip("\t\n\v\f\r ")
+    pages = Counter(h or "" for _, _, h in rows)
+    on = Counter((h or "", x) for _, t, h in rows for x in {bare(x) for x in (t or "").split("\n")} - {""})
+    out = []
+    for d, t, h in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if not (on[h or "", bare(x)] >= least and on[h or "", bare(x)] / pages[h or ""] > ratio)]
+        out.append((d, sum(bare(x) != "" for x in lines), len(lines) - len(kept), "\n".join(kept)))
+    return out
+
+
+@pytest.mark.parametrize("sent", [lines.SENT, 0])
+def test_lines(spark, docs, rows, clashing, empty, sent):
     menu = [(i, f"Home | About\nbody {i}\n\n  Home | About ", "a") for i in range(8)] + [(20 + i, f"text {i}", "a") for i in range(30)]
     data = [*menu, (50, None, "a"), (51, "Home | About", None), (52, "only\n", "solo"), (53, "only\n", "solo"), (None, "Home | About\nz", "a")]
-    got = {r.doc_id: r for r in lines.drop_lines(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()}
+    table = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in lines.drop_lines(table, sent=sent).collect()}
     assert (got[3].n_lines, got[3].n_dropped, got[3].text) == (3, 2, "body 3\n")
     assert (got[50].n_lines, got[50].text) == (0, "")
     assert got[51].text == "Home | About"
-    assert got[52].text == "only\n"
+    assert (got[52].n_dropped, got[52].text) == (1, "")
     assert got[None].text == "z"
-    assert lines.drop_lines(clashing).columns == ["doc_id", "n_lines", "n_dropped", "text"]
-    assert lines.drop_lines(empty).count() == 0
+    plain = sorted(map(repr, plain_lines([(r[0], r[1], r[3]) for r in rows])))
+    for df in (docs, clashing):
+        out = lines.drop_lines(df, sent=sent)
+        assert out.columns == ["doc_id", "n_lines", "n_dropped", "text"]
+        assert sorted(map(repr, map(tuple, out.collect()))) == plain
+    assert lines.drop_lines(empty, sent=sent).count() == 0
+
+
+@pytest.mark.parametrize("sent", [lines.SENT, 0])
+def test_lines_against_brute_force(spark, sent):
+    rng = np.random.default_rng(6)
+    pool = ["", " ", "menu", " menu\t", "é", "x\u00a0", "\u00a0x", "a b", "footer\r", "footer", "\x1c", *(f"line {i}" for i in range(60))]
+    data = [(int(i), "\n".join(rng.choice(pool, rng.integers(0, 30))), ["a", "b", "ü", "", None][rng.integers(5)]) for i in range(250)]
+    data += [data[3], data[3], (None, None, None), (900, "\n".join(f"unique {i}" if i % 3 else "menu" for i in range(50_000)), "a")]
+    got = lines.drop_lines(spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3), sent=sent)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, plain_lines(data)))
 
 
 def margin(rows, at):
