@@ -1,6 +1,6 @@
 """Benchmark decontamination by pigeonhole edit matching over words.
 
-A test item is cut into overlapping windows. A window of n words may differ by k = floor(n * error_rate) word edits. It is
+A test item is cut into windows, one at every word. A window of n words may differ by k = floor(n * error_rate) word edits. It is
 split into k + 1 pieces; k edits leave at least one piece whole, so every match has an exact piece hit. Pieces are
 found by one Aho-Corasick pass over each whole text; Myers' bit-parallel distance verifies the words around each hit.
 
@@ -10,6 +10,7 @@ The test items are a stated query set: they are broadcast in blocks of bounded b
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 from pyspark.sql import DataFrame
@@ -20,8 +21,10 @@ from lattice.plans.materialize import materialize
 
 #: Words in a window, words from one window's start to the next, edits per word.
 WINDOW, STRIDE, ERROR_RATE = 25, 1, 0.2
-#: Most bytes of test items that are sent to executors at once.
+#: Most bytes of test items that are sent to executors at once; some 200 MB as an automaton.
 BLOCK_BYTES = 1 << 20
+#: Windows whose bit masks a worker keeps.
+MASKS = 4096
 
 HITS = "array<struct<item_id:long,distance:int,start:int,end:int>>"
 
@@ -31,14 +34,10 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(ALNUM).split()
 
 
-def windows(item: list[bytes], window: int = WINDOW, stride: int = STRIDE) -> Iterator[list[bytes]]:
-    """The whole item if it is short, else windows at every stride and at its end; a stride above 1 loses edited passages between the windows."""
-    last = len(item) - window
-    if last <= 0:
-        yield item
-    else:
-        for at in sorted({*range(0, last, stride), last}):
-            yield item[at : at + window]
+def starts(n: int, window: int = WINDOW, stride: int = STRIDE) -> list[int]:
+    """First words of the windows of an item of ``n`` words: every stride and the end; a stride above 1 loses edited passages between them."""
+    last = n - window
+    return [0] if last <= 0 else sorted({*range(0, last, stride), last})
 
 
 def pieces(n: int, errors: int) -> list[tuple[int, int]]:
@@ -84,18 +83,26 @@ class Matcher:
         self.found = None
 
     def _open(self) -> None:
-        """Built in the worker: the windows and the automaton aren't sent."""
-        self.patterns = [(item_id, w, int(len(w) * self.error_rate)) for item_id, item in self.items for w in windows(item, self.window, self.stride)]
-        at: dict[str, list[tuple[int, int]]] = {}
-        for number, (_, pattern, errors) in enumerate(self.patterns):
-            for a, b in pieces(len(pattern), errors):
-                at.setdefault(f" {b' '.join(pattern[a:b]).decode('latin-1')} ", []).append((number, a))
+        """Built in the worker: the automaton isn't sent. A piece that several windows of an item share is one place."""
+        self.starts, self.cuts = [], []
+        at: dict[str, dict[tuple[int, int], None]] = {}
+        for number, (_, item) in enumerate(self.items):
+            m = min(self.window, len(item))
+            cuts, own = pieces(m, int(m * self.error_rate)), starts(len(item), self.window, self.stride)
+            self.starts.append(set(own))
+            self.cuts.append(cuts)
+            for start in own:
+                for a, b in cuts:
+                    at.setdefault(f" {b' '.join(item[start + a : start + b]).decode('latin-1')} ", {})[number, start + a] = None
         self.found = ahocorasick.Automaton()
         for piece, places in at.items():
-            self.found.add_word(piece, (len(piece) - 1, places))
+            self.found.add_word(piece, (len(piece) - 1, piece.count(" ") - 1, tuple(places)))
         self.found.make_automaton()
-        self.forward: dict[int, dict[bytes, int]] = {}  # of the windows that were verified so far
-        self.backward: dict[int, dict[bytes, int]] = {}
+        self.masks = lru_cache(MASKS)(self._masks)
+
+    def _masks(self, number: int, start: int) -> tuple[dict[bytes, int], dict[bytes, int]]:
+        pattern = self.items[number][1][start : start + self.window]
+        return masks(pattern), masks(pattern[::-1])
 
     def __getstate__(self) -> dict:
         return {"items": self.items, "window": self.window, "stride": self.stride, "error_rate": self.error_rate, "found": None}
@@ -108,32 +115,33 @@ class Matcher:
             self._open()
         said = words(text)
         joined = f" {b' '.join(said).decode('latin-1')} "
-        tried: set[tuple[int, int]] = set()
+        tried: set[tuple[int, int, int]] = set()
         best: dict[int | None, tuple[int, int, int]] = {}
         counted, at_word = 0, 0
-        for last, (back, places) in self.found.iter(joined):
+        for last, (back, size, places) in self.found.iter(joined):
             first = last - back
             if first < counted:
                 at_word -= joined.count(" ", first, counted)
             else:
                 at_word += joined.count(" ", counted, first)
             counted = first
-            for number, offset in places:
-                item, pattern, errors = self.patterns[number]
-                start = at_word - offset
-                if (number, start) in tried:
-                    continue  # another piece of the same alignment was verified
-                tried.add((number, start))
-                m, low = len(pattern), max(0, start - errors)
-                part = said[low : start + m + errors]
-                if number not in self.forward:
-                    self.forward[number], self.backward[number] = masks(pattern), masks(pattern[::-1])
-                distance, end = myers(self.forward[number], m, part)
-                if distance <= errors:
-                    _, length = myers(self.backward[number], m, part[:end][::-1])
-                    span = (distance, low + end - length, low + end)
-                    if item not in best or span < best[item]:
-                        best[item] = span
+            for number, place in places:
+                for offset in (a for a, b in self.cuts[number] if b - a == size and place - a in self.starts[number]):
+                    start = at_word - offset
+                    if (number, place - offset, start) in tried:
+                        continue  # another piece of the same alignment was verified
+                    tried.add((number, place - offset, start))
+                    item_id, item = self.items[number]
+                    m = min(self.window, len(item))
+                    errors, (forward, backward) = len(self.cuts[number]) - 1, self.masks(number, place - offset)
+                    low = max(0, start - errors)
+                    part = said[low : start + m + errors]
+                    distance, end = myers(forward, m, part)
+                    if distance <= errors:
+                        _, length = myers(backward, m, part[:end][::-1])
+                        span = (distance, low + end - length, low + end)
+                        if item_id not in best or span < best[item_id]:
+                            best[item_id] = span
         return [{"item_id": k, "distance": d, "start": a, "end": b} for k, (d, a, b) in sorted(best.items(), key=lambda x: (x[0] is not None, x[0]))]
 
 
@@ -152,18 +160,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(doc_id, item_id, distance, start_word, end_word): a row for each row of ``docs`` and test item it holds a window of.
 
     distance is the least number of word edits, start_word to end_word (exclusive) the first words that have it. Null, empty and
-    wordless texts or items match nothing. Repeated items are one; repeated documents are rows of their own; ids may be null.
-    Other columns are ignored; an empty table on either side gives no rows.
+    wordless texts or items match nothing; very long texts are searched whole. Repeated items are one; repeated documents are rows of
+    their own; ids may be null. Other columns are ignored; an empty table on either side gives no rows.
+
+    Several blocks are searched one after the other; each block's rows are written, and its items released, before the next one is read.
     """
+    schema = "doc_id long, item_id long, distance int, start_word int, end_word int"
+    sizes = benchmark.select(raw(text_col).alias("text")).agg(F.sum(F.length("text") + 16)).first()[0] or 0
     out = None
     for block in blocks(benchmark, block_bytes=block_bytes):
         matcher = Matcher(block, window, stride, error_rate)
         found = map_docs(docs, [F.col(id_col).cast("long"), raw(text_col)], f"doc_id long, hits {HITS}", lambda i, t, m=matcher: (i, h) if (h := m.match(t)) else None)
         rows = found.select("doc_id", F.inline("hits")).select("doc_id", "item_id", "distance", F.col("start").alias("start_word"), F.col("end").alias("end_word"))
+        if sizes > block_bytes:
+            rows = materialize(rows)
         out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, distance int, start_word int, end_word int")
-    return out
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

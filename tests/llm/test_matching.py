@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import defaultdict
 
 import pytest
 
@@ -40,7 +41,7 @@ def test_contamination(spark, clashing, empty):
         best = {}
         for i, x in dict.fromkeys(items):
             w = decontaminate.words((x or "").encode())
-            for part in decontaminate.windows(w) if w else []:
+            for part in [w[k : k + 25] for k in range(max(1, len(w) - 24))] if w else []:
                 n = edit_table(part, decontaminate.words((t or "").encode()))[0]
                 if n <= int(len(part) * decontaminate.ERROR_RATE):
                     best[i] = min(best.get(i, 99), n)
@@ -49,8 +50,15 @@ def test_contamination(spark, clashing, empty):
         found = [(r.doc_id, r.item_id, r.distance) for r in decontaminate.contamination(docs, bench, block_bytes=limit).collect()]
         assert sorted(map(repr, found)) == sorted(map(repr, expected))
     assert len(expected) > 15
+    said_in, item_of = defaultdict(list), defaultdict(list)
+    for d, t in texts:
+        said_in[d].append(decontaminate.words((t or "").encode()))
+    for i, x in items:
+        item_of[i].append(decontaminate.words((x or "").encode()))
     for r in decontaminate.contamination(docs, bench).collect():
-        assert 0 <= r.start_word <= r.end_word
+        ends = [said[r.start_word : r.end_word] for said in said_in[r.doc_id]]
+        patterns = [w[k : k + 25] for w in item_of[r.item_id] if w for k in range(max(1, len(w) - 24))]
+        assert r.distance in {whole_distance(p, e) for p in patterns for e in ends}
     assert decontaminate.contamination(docs, bench.limit(0)).count() == 0
     assert decontaminate.contamination(empty, bench).count() == 0
     left = decontaminate.remove_contaminated(docs, bench)
@@ -231,6 +239,40 @@ def test_urls(spark, limit):
     assert urls.filter_urls(pages.limit(0), rule_bytes=limit).count() == 0
 
 
+def whole_distance(a, b):
+    """Edit distance between two word lists."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = _next(row, i, x, b)
+    return row[-1]
+
+
+def _next(row, i, x, b):
+    out = [i]
+    for j, y in enumerate(b, 1):
+        out.append(min(row[j] + 1, out[-1] + 1, row[j - 1] + (x != y)))
+    return out
+
+
+@pytest.mark.parametrize("edits", range(6))
+def test_every_stretch_within_the_budget_is_found(edits):
+    """Recall 1 for every 25-word stretch of an item after up to five insertions, deletions and substitutions."""
+    rng = random.Random(edits)
+    vocab = [f"v{i}" for i in range(400)]
+    item = [rng.choice(vocab) for _ in range(90)]
+    matcher = decontaminate.Matcher([(1, " ".join(item).encode())])
+    for at in range(len(item) - 24):
+        for _ in range(4):
+            part = item[at : at + 25]
+            for _ in range(edits):
+                k = rng.randrange(len(part))
+                part[k : k + 1] = rng.choice([[], ["zz"], ["zz", part[k]]])
+            text = [rng.choice(vocab) for _ in range(30)] + part + [rng.choice(vocab) for _ in range(30)]
+            found = matcher.match(" ".join(text).encode())
+            assert [h["item_id"] for h in found] == [1], at
+            assert found[0]["distance"] <= edits
+
+
 def test_edited_passages_are_found_at_every_offset():
     item = [f"w{i}" for i in range(64)]
     matcher = decontaminate.Matcher([(1, " ".join(item).encode())])
