@@ -4,10 +4,11 @@ Tokens are words (A-Z lower-cased) and one end per document. A state emits a cla
 their own, all other words fall into classes by their last bytes. A word within such a class has the add-one smoothed share
 of its training count, all unseen words of a class together one count; so the model gives every text a probability.
 
-Counts cover the whole training part: they are summed in the workers, then by Spark. At most ``TOP``
-frequent words are broadcast; counts of all others meet their occurrences in a shuffled join, where no word is
-hot any more. Each Baum-Welch round sums the expected counts of its tasks by class in a shuffle and brings the bounded
-matrices (classes times states) to the driver.
+Counts cover the whole training part: they are summed in the workers, then by Spark. The classes grow with the vocabulary, up to
+what two bytes can name. At most ``TOP`` frequent words are broadcast; counts of all others meet their occurrences in a
+shuffled join, where no word is hot any more. Each Baum-Welch round sums the expected counts of its tasks by class in a
+shuffle and brings the bounded matrices (classes times states) to the driver. Sequences of any length are trained on whole: a
+long one is run through in blocks of steps, forward once to keep the variables at the block edges, then block by block backward.
 """
 
 from __future__ import annotations
@@ -16,26 +17,29 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattice.llm.words import map_docs, raw
+from lattice.llm.words import map_docs, raw, sliced
 from lattice.plans.materialize import materialize
 
-#: Latent states, words that are classes of their own, classes of other words, words whose counts are broadcast, rounds.
-STATES, OWN, RARE, TOP, ROUNDS = 8, 4096, 1024, 200_000, 5
+#: Latent states, words whose counts are broadcast, rounds.
+STATES, TOP, ROUNDS = 8, 200_000, 5
+#: Words that are classes of their own, and classes of other words: least, distinct words a class, most.
+OWN, RARE = (4096, 32, 49_152), (1024, 128, 12_288)
 SUFFIX = 3
 #: The end of a document among the words; no word has a space.
 END = b" "
-#: Bytes of forward variables held at once; longest sequence in training, longer ones are cut.
-HELD, LONGEST = 1 << 25, 1 << 17
+#: Bytes of forward variables held at once.
+HELD = 1 << 25
 SEED = 7
 
 
-def rare_class(word: bytes, rare: int = RARE) -> int:
+def rare_class(word: bytes, rare: int) -> int:
     return zlib.crc32(word[-SUFFIX:]) % rare
 
 
@@ -43,7 +47,7 @@ class _Count:
     """Words and their counts, one table per batch of texts."""
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             counts: Counter[bytes] = Counter()
             for text in batch.column(0).to_pylist():
                 counts.update(text.lower().split())
@@ -94,9 +98,10 @@ def frequent(vocab: DataFrame, top: int) -> list[tuple[bytes, int]]:
     return sorted(((bytes(r["word"]), r["c"]) for r in vocab.filter(step >= least).collect()), key=lambda x: (-x[1], x[0]))
 
 
-def lexicon(vocab: DataFrame, own: int = OWN, rare: int = RARE, top: int = TOP) -> Lexicon:
-    """From (word, c): totals, the ``top`` words and the sums of the rare classes."""
+def lexicon(vocab: DataFrame, own: int | None = None, rare: int | None = None, top: int = TOP) -> Lexicon:
+    """From (word, c): totals, the ``top`` words and the sums of the rare classes; without a number the classes grow with the words."""
     total, distinct = (x or 0 for x in vocab.agg(F.sum("c"), F.count("*")).first())
+    own, rare = (n or min(max(least, distinct // words), most) for n, (least, words, most) in ((own, OWN), (rare, RARE)))
     most = frequent(vocab, top)
     rank = {w: i for i, (w, _) in enumerate(most)}
     counts = [c for _, c in most]
@@ -203,33 +208,50 @@ def log_likelihoods(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
 
 
 def expected_counts(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch expected counts of starts (S), transitions (S, S) and emissions (classes, S)."""
+    """Baum-Welch expected counts of starts (S), transitions (S, S) and emissions (classes, S), of whole sequences."""
     states, classes = len(model.start), len(model.emit)
     start, move, counts = np.zeros(states), np.zeros((states, states)), np.zeros((states, classes))
     emit, back = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
+
+    def step(before: np.ndarray | None, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        alpha = (model.start[:, None] if before is None else back @ before[:, : seen.shape[1]]) * seen
+        scale = alpha.sum(axis=0)
+        return alpha / scale, scale
+
     for codes, active, _ in _groups(sequences, states):
         steps, n0 = codes.shape
-        active, offsets = active.tolist(), np.concatenate([[0], np.cumsum(active)])
-        alphas, ratios = np.empty((states, offsets[-1])), np.empty((states, offsets[-1]))  # steps side by side, active ones only
-        for t, n in enumerate(active):
-            at = slice(offsets[t], offsets[t] + n)
-            seen = emit.take(codes[t, :n], axis=1)
-            alpha = (back @ alphas[:, offsets[t - 1] : offsets[t - 1] + n] if t else np.repeat(model.start[:, None], n, axis=1)) * seen
-            scale = alpha.sum(axis=0)
-            np.divide(alpha, scale, out=alphas[:, at])
-            np.divide(seen, scale, out=ratios[:, at])
+        active, block = active.tolist(), max(1, HELD // (16 * states * n0))
+        edges = [*range(0, steps, block), steps]
+        entry: list[np.ndarray | None] = [None]  # the forward variables before each block
+        for first, end in list(pairwise(edges))[:-1]:
+            alpha = entry[-1]
+            for t in range(first, end):
+                alpha, _ = step(alpha, emit.take(codes[t, : active[t]], axis=1))
+            entry.append(alpha)
         beta = np.ones((states, n0))
-        for t in range(steps - 1, 0, -1):
-            n, at = active[t], slice(offsets[t], offsets[t] + active[t])
-            ahead = ratios[:, at] * beta[:, :n]
-            move += alphas[:, offsets[t - 1] : offsets[t - 1] + n] @ ahead.T
-            alphas[:, at] *= beta[:, :n]  # now the chances of the states
-            beta[:, :n] = model.move @ ahead
-        alphas[:, :n0] *= beta
-        start += alphas[:, :n0].sum(axis=1)
-        flat = np.concatenate([codes[t, :n] for t, n in enumerate(active)])
-        for s in range(states):
-            counts[s] += np.bincount(flat, weights=alphas[s], minlength=classes)
+        for first, end in reversed(list(pairwise(edges))):
+            alpha = before = entry.pop()
+            at = np.concatenate([[0], np.cumsum(active[first:end])]).tolist()
+            alphas, ratios = np.empty((states, at[-1])), np.empty((states, at[-1]))  # steps side by side, active ones only
+            for t in range(first, end):
+                own = slice(at[t - first], at[t - first + 1])
+                seen = emit.take(codes[t, : active[t]], axis=1)
+                alpha, scale = step(alpha, seen)
+                alphas[:, own] = alpha
+                np.divide(seen, scale, out=ratios[:, own])
+            for t in range(end - 1, first - 1, -1):
+                n, own = active[t], slice(at[t - first], at[t - first + 1])
+                ahead = ratios[:, own] * beta[:, :n]
+                alphas[:, own] *= beta[:, :n]  # now the chances of the states
+                if t == 0:
+                    start += alphas[:, own].sum(axis=1)
+                    break
+                last = before if t == first else alphas[:, at[t - first - 1] : at[t - first]]
+                move += last[:, :n] @ ahead.T
+                beta[:, :n] = model.move @ ahead
+            flat = np.concatenate([codes[t, : active[t]] for t in range(first, end)])
+            for s in range(states):
+                counts[s] += np.bincount(flat, weights=alphas[s], minlength=classes)
     return start, move * model.move, counts.T.copy()
 
 
@@ -245,9 +267,8 @@ class _Expect:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, total = self.model.value, None
-        for batch in batches:
-            parts = [s[i : i + LONGEST] for s in _sequences(batch, 0) for i in range(0, len(s), LONGEST)]
-            found = expected_counts(model, parts)
+        for batch in sliced(batches):
+            found = expected_counts(model, _sequences(batch, 0))
             total = found if total is None else tuple(a + b for a, b in zip(total, found, strict=True))
         if total is not None:
             start, move, emit = total
@@ -285,18 +306,18 @@ class _Forward:
         self.model = model
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             logs = log_likelihoods(self.model.value, _sequences(batch, batch.num_columns - 1)) / np.log(10)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(logs)], [*batch.schema.names[:-1], "forward"])
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, rounds: int = ROUNDS, own: int = OWN, rare: int = RARE, top: int = TOP) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, rounds: int = ROUNDS, own: int | None = None, rare: int | None = None, top: int = TOP) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): a row for each row of ``docs``.
 
     held_out: crc32 of the id as text has remainder 2 by 7; these rows aren't learned from. n_known counts tokens seen in training.
     base_score is the add-one unigram log10 probability, score the hidden Markov model's. A null or empty text is the end
-    alone. A null id counts as the empty text and is learned from. Repeated rows are learned from each time. Other columns are ignored;
-    an empty table gives no rows.
+    alone; very long ones are learned from and scored whole. A null id counts as the empty text and is learned from. Repeated rows are
+    learned from each time. Other columns are ignored; an empty table gives no rows.
     """
     sc = docs.sparkSession.sparkContext
     doc = F.col(id_col).cast("long")

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattice.llm.words import map_docs, raw
+from lattice.llm.words import map_docs, raw, sliced
 from lattice.plans.materialize import bounded_broadcast, heavy_keys, lookup_join, materialize
 
 RATIO = 0.1
@@ -35,7 +35,7 @@ class _Count:
     """(host, key, n_pages) over rows (host, text): each line once a page, summed over a batch."""
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             counts: Counter[tuple[bytes, bytes]] = Counter()
             for host, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 counts.update((host, line_key(host, x)) for x in set(map(bytes.strip, text.split(b"\n"))) if x)

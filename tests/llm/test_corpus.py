@@ -260,6 +260,79 @@ def test_forward_and_counts_are_exact():
         assert np.allclose(found, sum(p[k] for p in plain))
 
 
+@pytest.mark.parametrize("held", [1, 500, 1 << 25])
+def test_long_sequences_are_counted_whole(monkeypatch, held):
+    """Blocks of few steps give the counts of the plain forward-backward recursion."""
+    rng = np.random.default_rng(2)
+    m = hmm.Model(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(5), 3).T)
+    seqs = [rng.integers(0, 5, n).astype(np.uint16) for n in (1, 2, 37, 37, 60, 300)]
+    start, move, emit = np.zeros(3), np.zeros((3, 3)), np.zeros((5, 3))
+    for q in seqs:
+        alpha, beta = [m.start * m.emit[q[0]]], [np.ones(3)]
+        for c in q[1:]:
+            alpha.append(alpha[-1] @ m.move * m.emit[c])
+        for c in q[:0:-1]:
+            beta.insert(0, m.move @ (m.emit[c] * beta[0]))
+        total = alpha[-1].sum()
+        start += alpha[0] * beta[0] / total
+        for t, c in enumerate(q):
+            emit[c] += alpha[t] * beta[t] / total
+            if t:
+                move += np.outer(alpha[t - 1], m.emit[c] * beta[t]) * m.move / total
+    monkeypatch.setattr(hmm, "HELD", held)
+    for found, plain in zip(hmm.expected_counts(m, seqs), (start, move, emit), strict=True):
+        assert np.allclose(found, plain)
+
+
+def test_score_against_enumerated_states(spark):
+    """The whole score of a small corpus: classes, Baum-Welch rounds and chances by enumerating all paths of states."""
+    own, rare, rounds = 3, 2, 2
+    texts = ["a b", "A c a", "b a c", "c", "ab a", "ba", "", "a a b c", None, "zz a", "b b"]
+    rows = [(i, texts[i % len(texts)]) for i in range(44)]
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    said = lambda t: [*(t or "").lower().split(), " "]
+    c = Counter(w for d, t in rows if not held(d) for w in said(t))
+    often = sorted(c, key=lambda w: (-c[w], w.encode()))
+    inside = often[: own - 1] + [" "] * (" " not in often[: own - 1])
+    klass = lambda w: inside.index(w) if w in inside else own + zlib.crc32(w.encode()[-3:]) % rare
+    sizes = [sum(c[w] for w in c if klass(w) == k) for k in range(own + rare)]
+    prior = np.array(sizes) + 1.0
+    prior /= prior.sum()
+    model, codes = hmm.first_model(prior, 2), [[klass(w) for w in said(t)] for d, t in rows if not held(d)]
+
+    def paths(q):
+        for z in itertools.product(range(2), repeat=len(q)):
+            yield z, model.start[z[0]] * math.prod(model.move[a, b] for a, b in itertools.pairwise(z)) * math.prod(model.emit[k, s] for k, s in zip(q, z, strict=True))
+
+    for _ in range(rounds):
+        start, move, emit = np.ones(2), np.ones((2, 2)), np.repeat(prior[:, None], 2, axis=1)
+        for q in codes:
+            total = sum(p for _, p in paths(q))
+            for z, p in paths(q):
+                start[z[0]] += p / total
+                for k, s in zip(q, z, strict=True):
+                    emit[k, s] += p / total
+                for a, b in itertools.pairwise(z):
+                    move[a, b] += p / total
+        model = hmm.Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+
+    def chance(w):
+        k = klass(w)
+        return 1.0 if k < own else (c[w] + 1) / (sizes[k] + sum(klass(x) == k for x in c) + 1)
+
+    expected = {d: math.log10(sum(p for _, p in paths([klass(w) for w in said(t)])) * math.prod(map(chance, said(t)))) for d, t in rows}
+    for top in (2, 4, 100):
+        got = hmm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), states=2, rounds=rounds, own=own, rare=rare, top=top).collect()
+        assert {r.doc_id: r.score for r in got} == pytest.approx(expected)
+
+
+def test_classes_grow_with_the_vocabulary(spark):
+    vocab = spark.range(200_000).selectExpr("CAST(CAST(id AS STRING) AS BINARY) AS word", "1L AS c")
+    large, small = hmm.lexicon(vocab, top=100), hmm.lexicon(vocab.limit(50), top=100)
+    assert (small.own, small.rare) == (4096, 1024)
+    assert (large.own, large.rare) == (6250, 1562)
+
+
 def test_language_model(spark, docs, rows, clashing, empty):
     small = {"own": 16, "rare": 8, "top": 20, "rounds": 2, "states": 3}
     held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
