@@ -53,17 +53,33 @@ def parser() -> argparse.ArgumentParser:
     return out
 
 
+def _cell(value: object) -> str:
+    return "" if value is None else json.dumps(value, ensure_ascii=False) if isinstance(value, (list, dict)) else str(value)
+
+
+def table(rows: list[dict]) -> str:
+    """Rows as a table with a head; a cell is one line of at most 60 characters."""
+    names = list(rows[0])
+    cells = [[" ".join(_cell(r.get(n)).split()) for n in names] for r in rows]
+    cells = [[c if len(c) <= 60 else c[:59] + "…" for c in row] for row in [names, *cells]]
+    widths = [max(len(row[i]) for row in cells) for i in range(len(names))]
+    lines = [" | ".join(c.ljust(w) for c, w in zip(row, widths, strict=True)).rstrip() for row in cells]
+    return "\n".join([lines[0], "-+-".join("-" * w for w in widths), *lines[1:]])
+
+
 def _show(value: object, as_json: bool) -> None:
+    """JSON, or tables: one for a list of rows, for a record its plain values and then a table for each list in it."""
     if as_json or not isinstance(value, (list, dict)):
         print(json.dumps(value, indent=2))
-    elif isinstance(value, dict):
-        for k, v in value.items():
-            print(f"{k}: {json.dumps(v) if isinstance(v, (list, dict)) else v}")
+    elif isinstance(value, list):
+        print(table(value) if value else "nothing found")
     else:
-        for row in value:
-            print(" | ".join(str(v) for v in row.values()))
-        if not value:
-            print("nothing found")
+        lists = {k: v for k, v in value.items() if isinstance(v, list) and v and all(isinstance(x, dict) for x in v)}
+        for k, v in value.items():
+            if k not in lists:
+                print(f"{k}: {_cell(v)}")
+        for k, v in lists.items():
+            print(f"\n{k}\n{table(v)}")
 
 
 def main(argv: list[str] | None = None, spark=None) -> int:

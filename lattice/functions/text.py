@@ -30,11 +30,17 @@ def is_blank(text: Column) -> Column:
     return text.rlike(rf"(?U)^{_SPACE}*$")
 
 
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
+
+
 def strip_code_fence(text: Column) -> Column:
     """The trimmed text without a leading fence (with or without json or yaml) and a trailing one."""
-    bare = F.regexp_replace(text, rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
-    opened = F.regexp_replace(bare, rf"(?U)^```(?:json|yaml)?{_SPACE}*\n?", "")
-    return F.when(bare.startswith("```"), F.regexp_replace(opened, rf"(?U)\n?```{_SPACE}*$", "")).otherwise(bare)
+    bare, rest = _stripped(text), lambda c, n: F.substr(c, F.lit(n + 1))
+    inside = rest(bare, 3)
+    inside = _stripped(F.when(inside.startswith("json") | inside.startswith("yaml"), rest(inside, 4)).otherwise(inside))
+    closed = F.when(inside.endswith("```"), _stripped(F.left(inside, F.length(inside) - 3))).otherwise(inside)
+    return F.when(bare.startswith("```"), closed).otherwise(bare)
 
 
 def fixed_spans(text: Column, max_chars: int, overlap: int) -> Column:

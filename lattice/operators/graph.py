@@ -1,4 +1,8 @@
-"""Traversals: neighbourhoods and shortest paths over the name-keyed, undirected view of a graph."""
+"""Traversals: neighbourhoods and shortest paths over the name-keyed, undirected view of a graph.
+
+A hop works on ids: the frontier, broadcast when counted to be small, meets the ends of the relations, and only what it reaches is
+looked up among the entities. The ends are written once as (node, next) where several hops read them.
+"""
 
 from __future__ import annotations
 
@@ -20,39 +24,43 @@ def graph_view(entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, Da
     return nodes, edges.select("subject", "object", "e.predicate", "e.confidence", "e.id")
 
 
-def _undirected(edges: DataFrame) -> DataFrame:
-    forward = edges.select(F.col("subject").alias("node"), F.col("object").alias("next"))
-    return forward.unionByName(edges.select(F.col("object").alias("node"), F.col("subject").alias("next")))
+def _steps(relations: DataFrame) -> DataFrame:
+    """(at, next): both directions of every relation by id, in one scan."""
+    way = lambda a, b: F.struct(F.col(a).alias("at"), F.col(b).alias("next"))
+    return relations.select(F.inline(F.array(way("subject_id", "object_id"), way("object_id", "subject_id"))))
 
 
-def _ends(entities: DataFrame, relations: DataFrame) -> DataFrame:
-    return named_relations(relations, entities).select("subject", "object")
+def _nodes(entities: DataFrame) -> DataFrame:
+    return entities.select("id", F.col("canonical_name").alias("node"))
 
 
 def neighbors(entities: DataFrame, relations: DataFrame, name: str, depth: int = 1, entity_type: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes and induced edges within ``depth`` hops of a name, either direction.
 
     A type filter keeps other nodes out and stops the search there; the start is exempt. An unknown name gives empty tables.
-    One join of the frontier per hop; visited nodes are never expanded twice.
+    Visited nodes are never expanded twice.
     """
-    around = _undirected(_ends(entities, relations))
-    if entity_type:
-        types = entities.groupBy(F.col("canonical_name").alias("next")).agg(F.max_by("entity_type", "id").alias("type"))
-        around = around.join(types.filter(F.col("type") == entity_type).select("next"), "next", "left_semi").select("node", "next")
-    visited = materialize(entities.filter(F.col("canonical_name") == name).select(F.col("canonical_name").alias("node")).distinct())
-    frontier = visited
+    nodes, steps = _nodes(entities), _steps(relations)
+    if depth > 1:
+        steps = materialize(steps)
+    visited = frontier = materialize(nodes.filter(F.col("node") == name))
     for _ in range(max(0, depth)):
-        step = around.join(bounded_broadcast(frontier), "node").select(F.col("next").alias("node")).distinct()
-        frontier = materialize(step.join(bounded_broadcast(visited), "node", "left_anti"))
-        if frontier.isEmpty():
+        at = frontier.select(F.col("id").alias("at")).distinct()
+        reached = materialize(steps.join(bounded_broadcast(at), "at", "left_semi").select(F.col("next").alias("id")).distinct())
+        met = nodes.join(bounded_broadcast(reached), "id", "left_semi").select("node").distinct()
+        if entity_type:
+            types = entities.groupBy(F.col("canonical_name").alias("node")).agg(F.max_by("entity_type", "id").alias("type"))
+            met = met.join(types.filter(F.col("type") == entity_type).select("node"), "node", "left_semi")
+        met = materialize(met.join(bounded_broadcast(visited.select("node").distinct()), "node", "left_anti"))
+        if met.isEmpty():
             break
-        grown = materialize(visited.unionByName(frontier))
-        visited = grown
-    visited = bounded_broadcast(visited)
-    inside = lambda c: visited.select(F.col("node").alias(c))
-    mine = entities.join(inside("canonical_name"), "canonical_name", "left_semi")
-    nodes, edges = graph_view(mine, relations)
-    return nodes, edges
+        frontier = materialize(nodes.join(bounded_broadcast(met), "node").select("id", "node"))
+        visited = materialize(visited.unionByName(frontier))
+        discard(reached)
+    if depth > 1:
+        discard(steps)
+    mine = materialize(entities.join(bounded_broadcast(visited.select("id").distinct()), "id", "left_semi"))
+    return graph_view(bounded_broadcast(mine), relations)
 
 
 def shortest_path(entities: DataFrame, relations: DataFrame, start: str, end: str, max_depth: int = 5) -> DataFrame | None:
@@ -61,25 +69,30 @@ def shortest_path(entities: DataFrame, relations: DataFrame, start: str, end: st
     Level by level from the start; each new node remembers its least parent by name. A hop shows the edge in its stored direction,
     the forward one if both exist. The path from a node to itself has no rows.
     """
-    spark = entities.sparkSession
+    spark, nodes = entities.sparkSession, _nodes(entities)
     schema = "step int, subject string, predicate string, object string"
-    there = {r[0] for r in entities.filter(F.col("canonical_name").isin(start, end)).select("canonical_name").distinct().collect()}
+    frontier = materialize(nodes.filter(F.col("node").isin(start, end)))
+    there = {r["node"] for r in frontier.select("node").distinct().collect()}
     if {start, end} - there:
         return None
     if start == end:
         return spark.createDataFrame([], schema)
-    around = _undirected(_ends(entities, relations))
-    visited = frontier = spark.createDataFrame([(start, None)], "node string, parent string")
-    levels = []
+    steps = materialize(_steps(relations))
+    frontier = frontier.filter(F.col("node") == start)
+    visited, levels = frontier.select("node").distinct(), []
     for _ in range(max_depth):
-        step = around.join(bounded_broadcast(frontier.select("node")), "node").groupBy(F.col("next").alias("node")).agg(F.min("node").alias("parent"))
-        frontier = materialize(step.join(bounded_broadcast(visited.select("node")), "node", "left_anti"))
-        levels.append(frontier)
-        if not frontier.filter(F.col("node") == end).isEmpty():
+        parents = frontier.select(F.col("id").alias("at"), F.col("node").alias("parent"))
+        reached = materialize(steps.join(bounded_broadcast(parents), "at").groupBy(F.col("next").alias("id")).agg(F.min("parent").alias("parent")))
+        met = nodes.join(bounded_broadcast(reached), "id").groupBy("node").agg(F.min("parent").alias("parent"))
+        level = materialize(met.join(bounded_broadcast(visited), "node", "left_anti"))
+        discard(reached)
+        levels.append(level)
+        if not level.filter(F.col("node") == end).isEmpty():
             break
-        if frontier.isEmpty():
+        if level.isEmpty():
             return None
-        visited = materialize(visited.unionByName(frontier))
+        frontier = materialize(nodes.join(bounded_broadcast(level.select("node")), "node").select("id", "node"))
+        visited = materialize(visited.unionByName(level.select("node")))
     else:
         return None
     hops, node = [], end
@@ -87,12 +100,13 @@ def shortest_path(entities: DataFrame, relations: DataFrame, start: str, end: st
         parent = level.filter(F.col("node") == node).first()["parent"]
         hops.append((parent, node))
         node = parent
-    for level in levels:
-        discard(level)
+    for table in (steps, *levels):
+        discard(table)
     hops = hops[::-1]
     wanted = spark.createDataFrame([(i, *ends, ahead) for i, (a, b) in enumerate(hops) for ends, ahead in (((a, b), 0), ((b, a), 1))], "step int, subject string, object string, back int")
     ends = [F.col(f"w.{c}") == F.col(f"e.{c}") for c in ("subject", "object")]
-    edges = named_relations(relations.alias("r"), entities).select("subject", "object", "predicate", "id")
+    mine = bounded_broadcast(materialize(entities.filter(F.col("canonical_name").isin(start, *(b for _, b in hops)))))
+    edges = named_relations(relations, mine).select("subject", "object", "predicate", "id")
     found = edges.alias("e").join(F.broadcast(wanted).alias("w"), ends)
     best = found.groupBy("w.step").agg(F.max(F.struct((-F.col("back")).alias("forward"), F.col("e.id"), F.col("e.subject"), F.col("e.predicate"), F.col("e.object"))).alias("b"))
     return best.select("step", "b.subject", "b.predicate", "b.object").orderBy("step")

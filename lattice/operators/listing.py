@@ -35,23 +35,33 @@ def list_entities(entities: DataFrame, entity_type: str | None = None, search: s
 
 def named_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
     """Relations with names and types of both ends; those with a missing end go."""
-    end = lambda p: entities.select(F.col("id").alias(f"{p}_id"), F.col("canonical_name").alias(p), F.col("entity_type").alias(f"{p}_type"))
-    return relations.join(end("subject"), "subject_id").join(end("object"), "object_id")
+    return relations.join(_end(entities, "subject"), "subject_id").join(_end(entities, "object"), "object_id")
+
+
+def _end(entities: DataFrame, p: str) -> DataFrame:
+    return entities.select(F.col("id").alias(f"{p}_id"), F.col("canonical_name").alias(p), F.col("entity_type").alias(f"{p}_type"))
 
 
 def list_relations(relations: DataFrame, entities: DataFrame, predicate: str | None = None, subject: str | None = None, object_name: str | None = None, limit: int = 50) -> DataFrame:
     """(id, subject, subject_type, predicate, object, object_type, confidence, attributes) by id.
 
-    Name filters reduce the relations by id before the joins; each task keeps only its own first ``limit`` rows.
+    Name filters reduce the relations by id before the joins. With a limit, relations whose ends exist are found by id alone, each task
+    keeps only its own first rows, and only the rows of the page are joined with names.
     """
     wanted = relations.filter(F.col("predicate") == predicate) if predicate else relations
     for end, name in (("subject", subject), ("object", object_name)):
         if name:
             ids = entities.filter(F.col("canonical_name") == name).select(F.col("id").alias(f"{end}_id"))
             wanted = wanted.join(bounded_broadcast(ids), f"{end}_id", "left_semi")
-    out = named_relations(wanted, entities)
-    out = out.select("id", "subject", "subject_type", "predicate", "object", "object_type", "confidence", "attributes")
-    return _limited(out.orderBy("id"), limit)
+    if limit >= 0:
+        ids = bounded_broadcast(entities.select("id"))
+        for end in ("subject", "object"):
+            wanted = wanted.join(ids.withColumnRenamed("id", f"{end}_id"), f"{end}_id", "left_semi")
+        page = F.broadcast(wanted.orderBy("id").limit(limit))
+        out = F.broadcast(page.join(_end(entities, "subject"), "subject_id")).join(_end(entities, "object"), "object_id")
+    else:
+        out = named_relations(wanted, entities)
+    return out.select("id", "subject", "subject_type", "predicate", "object", "object_type", "confidence", "attributes").orderBy("id")
 
 
 def get_entity(graph: Graph, name: str, entity_type: str | None = None) -> dict[str, DataFrame]:

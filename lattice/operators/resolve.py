@@ -12,7 +12,7 @@ from lattice.operators.components import connected_components
 from lattice.operators.search import similar_pairs
 from lattice.operators.stats import dedupe_relations, frequent_surface
 from lattice.operators.upsert import fold_attributes
-from lattice.plans.materialize import materialize
+from lattice.plans.materialize import bounded_broadcast, materialize
 from lattice.schemas import Graph
 
 STEP = 0.05
@@ -47,13 +47,13 @@ def apply_merges(graph: Graph, mapping: DataFrame, now: str = "", names: DataFra
     repointed, then relations deduplicated over the whole table. ``names`` (id, canonical_name) renames survivors.
     """
     groups = materialize(connected_components(mapping, "old_id", "survivor"))
-    moved = groups.filter("node != component").select(F.col("node").alias("old_id"), F.col("component").alias("survivor"))
+    moved = bounded_broadcast(groups.filter("node != component").select(F.col("node").alias("old_id"), F.col("component").alias("survivor")))
     at = lambda c: F.coalesce("survivor", c).alias(c)
 
     def repoint(df: DataFrame, column: str) -> DataFrame:
         return df.join(moved.withColumnRenamed("old_id", column), column, "left").select(*(at(c) if c == column else F.col(c) for c in df.columns))
 
-    relations = dedupe_relations(repoint(repoint(graph.relations, "subject_id"), "object_id"))
+    relations = dedupe_relations(materialize(repoint(repoint(graph.relations, "subject_id"), "object_id")))
     members = graph.entities.join(groups.withColumnRenamed("node", "id"), "id").select(F.col("component").alias("_to"), F.col("id").alias("seq"), "attributes")
     folded = fold_attributes(members, ["_to"]).select(F.col("_to").alias("id"), F.col("attributes").alias("_folded"))
     kept = graph.entities.join(moved.select(F.col("old_id").alias("id")), "id", "left_anti")

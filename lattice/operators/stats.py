@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattice.operators.listing import named_relations
 from lattice.schemas import Graph
 
 
@@ -47,9 +46,14 @@ def attribute_frequency(entities: DataFrame, top: int = 20, sample_limit: int |
 
 
 def type_pairs(relations: DataFrame, entities: DataFrame, top: int = 10) -> DataFrame:
-    """(predicate, subject_type, object_type, n): the ``top`` pairs of each predicate. Types are joined after pre-aggregation."""
-    named = named_relations(relations, entities)
-    counts = named.groupBy("predicate", "subject_type", "object_type").agg(F.count("*").alias("n"))
+    """(predicate, subject_type, object_type, n): the ``top`` pairs of each predicate.
+
+    Only ids and types are joined. Relations are counted by (predicate, subject type, object) before the objects' types are joined, so
+    the second join meets a row for each object and no longer one for each relation.
+    """
+    kind = lambda end: entities.select(F.col("id").alias(f"{end}_id"), F.col("entity_type").alias(f"{end}_type"))
+    some = relations.select("predicate", "subject_id", "object_id").join(kind("subject"), "subject_id").groupBy("predicate", "subject_type", "object_id").agg(F.count("*").alias("_some"))
+    counts = some.join(kind("object"), "object_id").groupBy("predicate", "subject_type", "object_type").agg(F.sum("_some").alias("n"))
     rank = F.row_number().over(Window.partitionBy("predicate").orderBy(F.desc("n"), "subject_type", "object_type"))
     return counts.withColumn("_rank", rank).filter(F.col("_rank") <= top).drop("_rank")
 
@@ -67,6 +71,10 @@ def frequent_surface(mentions: DataFrame) -> DataFrame:
 
 
 def dedupe_relations(relations: DataFrame) -> DataFrame:
-    """One relation, of least id, for each (subject, predicate, object, evidence); null evidences are equal."""
+    """One relation, of least id, for each (subject, predicate, object, evidence); null evidences are equal.
+
+    The rows are read twice: the least ids are aggregated by hash, without the other columns, and pick the rows by id.
+    """
     keys = ["subject_id", "predicate", "object_id", "evidence_chunk_id"]
-    return relations.groupBy(*keys).agg(F.min_by(F.struct(*relations.columns), "id").alias("_row")).select("_row.*")
+    least = relations.groupBy(*keys).agg(F.min("id").alias("id")).select("id")
+    return relations.join(least, "id", "left_semi").select(*relations.columns)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattice.functions.jsons import json_entries, json_string
 from lattice.plans.ids import dense_ids
 from lattice.plans.materialize import materialize
 
@@ -38,15 +39,14 @@ def normal_type(c: Column) -> Column:
 def fold_attributes(rows: DataFrame, keys: list[str], seq: str = "seq", attributes: str = "attributes") -> DataFrame:
     """(keys, attributes): JSON objects of each key merged in order of ``seq``; a later value wins, its first place stays.
 
+    Of a name that an object repeats the last value counts. A text that is no object is kept as the attribute ``_unparsed``.
     Values are aggregated by (key, attribute name) with map-side combination, so a key with any number of rows is never
     gathered; only its distinct attribute names are.
     """
-    spark = rows.sparkSession
-    some = rows.filter(~F.col(attributes).isin("{}", "")).select(*keys, F.col(seq).alias("_seq"), F.col(attributes).alias("_json"))
-    each = some.lateralJoin(spark.tvf.variant_explode(F.try_parse_json(F.col("_json").outer()))).withColumn("_place", F.array_position(F.json_object_keys("_json"), F.col("key")))
+    some = rows.filter(~F.col(attributes).isin("{}", "")).select(*keys, F.col(seq).alias("_seq"), F.posexplode(json_entries(F.col(attributes))).alias("_place", "_entry"))
     at = F.struct("_seq", "_place")
-    folded = each.groupBy(*keys, "key").agg(F.max_by(F.to_json("value"), at).alias("_value"), F.min(at).alias("_first"))
-    entry = F.concat(F.regexp_replace(F.to_json(F.array("key")), r"^\[|\]$", ""), F.lit(": "), F.col("_value"))
+    folded = some.groupBy(*keys, F.col("_entry.key").alias("_key")).agg(F.max_by("_entry.value", at).alias("_value"), F.min(at).alias("_first"))
+    entry = F.concat(json_string(F.col("_key")), F.lit(": "), F.col("_value"))
     listed = F.array_sort(F.collect_list(F.struct("_first", entry.alias("e"))))
     return folded.groupBy(*keys).agg(F.concat(F.lit("{"), F.array_join(F.transform(listed, lambda x: x["e"]), ", "), F.lit("}")).alias("attributes"))
 

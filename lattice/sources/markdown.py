@@ -15,16 +15,20 @@ SCAN = "path string, content string, content_hash string, size_bytes bigint, mti
 def scan_markdown(spark: SparkSession, root: str, include: list[str] | None = None) -> DataFrame:
     """(path, content, content_hash, size_bytes, mtime) of all ``*.md`` below a folder, dot-files and dot-folders left out.
 
-    Paths are relative. CRLF and CR become LF before hash and size. ``include`` names folders or files below the root; missing ones
-    are ignored. Text that isn't UTF-8 is an error.
+    The folder is on any file system that Spark reads; only Spark's readers list and read the files. Paths are relative. CRLF and CR
+    become LF before hash and size. ``include`` names folders or files below the root; missing ones are ignored. Text that isn't
+    UTF-8 is an error.
     """
-    base = str(Path(root).resolve())
-    places = [base] if not include else sorted({str(p) for x in include if (p := Path(base, x)).is_dir() or p.is_file() and p.suffix == ".md"})
-    if not any(p.is_file() or next(p.rglob("*.md"), None) for p in map(Path, places)):
+    path, config = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    top = path(root) if "://" in root else path(str(Path(root).resolve()))
+    files = top.getFileSystem(config)
+    base = files.makeQualified(top)
+    wanted = [base] if not include else [path(base, x) for x in sorted(set(include))]
+    places = [p.toString() for p in wanted if files.exists(p) and (files.getFileStatus(p).isDirectory() or p.getName().endswith(".md"))]
+    if not places:
         return spark.createDataFrame([], SCAN)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(places)
-    relative = F.regexp_replace("path", r"^\w+:/+", "/").alias("_full")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(places)
     text = normalize_newlines(F.decode("content", "UTF-8"))
-    out = files.select(relative, text.alias("content"), (F.col("modificationTime").cast("double")).alias("mtime"))
-    out = out.select(F.substring("_full", len(base) + 2, 1 << 20).alias("path"), "content", "mtime").filter(~F.col("path").rlike(r"(^|/)\.")).dropDuplicates(["path"])
+    out = found.select(F.substring("path", len(base.toString().rstrip("/")) + 2, 1 << 20).alias("path"), text.alias("content"), F.col("modificationTime").cast("double").alias("mtime"))
+    out = out.filter(~F.col("path").rlike(r"(^|/)\.")).dropDuplicates(["path"])
     return out.select("path", "content", content_hash(F.col("content")).alias("content_hash"), F.octet_length("content").cast("long").alias("size_bytes"), "mtime")

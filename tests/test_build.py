@@ -6,7 +6,7 @@ import pytest
 
 from lattice import cli
 from lattice.config import DEFAULTS, load_config, merged
-from lattice.operators.upsert import upsert_entities
+from lattice.operators.upsert import fold_attributes, upsert_entities
 from lattice.plans import build
 from lattice.sources.markdown import scan_markdown
 from lattice.sources.models import CallLog, ChatModel, HashEmbedder, ParseFailure, PatternModel, ask
@@ -37,6 +37,8 @@ def test_scan(spark, corpus):
     assert rows["notes/sol.md"].size_bytes == len(FILES["notes/sol.md"].replace("\r\n", "\n"))
     assert {r.path for r in scan_markdown(spark, str(corpus), ["notes", "gone"]).collect()} == {"notes/sol.md"}
     assert scan_markdown(spark, str(corpus / "gone")).count() == 0
+    assert {r.path for r in scan_markdown(spark, f"file://{corpus}").collect()} == {"ana.md", "notes/sol.md"}
+    assert {r.path for r in scan_markdown(spark, f"file://{corpus}/", ["ana.md", ".hidden", "notes/skip.txt"]).collect()} == {"ana.md"}
 
 
 def test_build_and_rebuild(spark, corpus, tmp_path):
@@ -116,6 +118,25 @@ def test_attribute_merge(spark):
     assert (rows["C C"].id, rows["C C"].entity_type, rows["C C"].attributes) == (3, "my_type", "{}")
 
 
+def test_attributes_are_never_lost(spark):
+    """Repeated names, floats, malformed text and nulls, against Python's own reading of the objects."""
+    texts = ['{"a": 1, "a": 2, "b": 3}', '{"x": 1.0, "e": "1.0", "t": true, "n": null}', '{"bad', "[1, 2]", '{"b": {"k": 1.0, "k": 2}, "q": "é\\n\\"{}"}', None, "", "{}", '{"s": "[1]", "o": {"z": [1, "b"]}}']
+    rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)] + [(2, 0, "{}"), (3, 0, '{"y": 2.5}')], "k int, seq int, attributes string")
+    got = {r.k: json.loads(r.attributes) for r in fold_attributes(rows, ["k"]).collect()}
+    assert set(got) == {1, 3}
+    expected = {}
+    for t in texts:
+        if t in ('{"bad', "[1, 2]"):
+            expected["_unparsed"] = t
+        elif t:
+            expected |= json.loads(t)
+    expected["b"] = got[1]["b"]
+    assert got[1] == expected
+    assert list(got[1]) == list(expected)
+    assert got[1]["b"]["k"] in (1.0, 2)
+    assert isinstance(got[1]["x"], float)
+
+
 def test_call_log(tmp_path):
     model = ChatModel(lambda m: '{"entities": [], "relations": []}', log=CallLog(str(tmp_path / "calls.log")))
     model.extract("text", "", "")

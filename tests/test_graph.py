@@ -1,11 +1,12 @@
 """Listings, traversals, statistics, exports over the seeded graph."""
 
+import io
 import json
 import xml.etree.ElementTree as ET
 
 import pytest
 
-from lattice import server, service
+from lattice import cli, server, service
 from lattice.operators import resolve, stats
 from lattice.operators.components import connected_components
 from lattice.operators.search import nearest, similar_pairs
@@ -205,3 +206,37 @@ def test_server(spark, seeded):
     assert tool("get_schema") == "No schema yet"
     assert server.answer({"method": "notifications/initialized"}, lambda: graph, lambda: embedder) is None
     assert "error" in server.answer({"id": 2, "method": "x"}, lambda: graph, lambda: embedder)
+
+
+def test_server_takes_the_arguments_and_lines_of_other_clients(seeded):
+    ask = lambda line: server.answer_line(line, lambda: seeded, lambda: None)
+    tool = lambda which, **a: json.loads(ask(json.dumps({"id": 1, "method": "tools/call", "params": {"name": which, "arguments": a}}))["result"]["content"][0]["text"])
+    assert [e["name"] for e in tool("list_entities_tool", type="Person")] == ["Ana Ruiz", "Ben Okoye"]
+    assert [e["name"] for e in tool("list_entities", entity_type="Project")] == ["Project Sol"]
+    assert tool("get_entity_tool", name="Ana Ruiz", type="Person")["id"] == 1
+    assert "type" in next(t for t in ask('{"id": 1, "method": "tools/list"}')["result"]["tools"] if t["name"] == "get_entity")["inputSchema"]["properties"]
+    assert ask("{not json")["error"]["code"] == -32700
+    assert ask("[]")["error"]["code"] == ask("3")["error"]["code"] == ask('{"id": 1, "method": "ping", "params": 3}')["error"]["code"] == -32600
+    batch = ask('[{"id": 1, "method": "ping"}, {"method": "notifications/x"}, {"id": 2, "method": "nothing"}]')
+    assert [(r["id"], "error" in r) for r in batch] == [(1, False), (2, True)]
+    assert ask('[{"method": "notifications/x"}]') is None
+    out = io.StringIO()
+    server.serve(lambda: seeded, lambda: None, io.StringIO('oops\n\n{"id": 7, "method": "ping"}\n'), out)
+    assert [json.loads(x).get("id") for x in out.getvalue().splitlines()] == [None, 7]
+
+
+def test_a_tool_call_leaves_no_tables(seeded):
+    from lattice.plans import materialize
+
+    before = list(materialize._written)
+    server.answer({"id": 1, "method": "tools/call", "params": {"name": "get_neighbors", "arguments": {"name": "Ana Ruiz", "depth": 2}}}, lambda: seeded, lambda: None)
+    assert materialize._written == before
+
+
+def test_tables_of_the_command_line():
+    text = cli.table([{"name": "Ana\nRuiz", "n": 1, "more": None}, {"name": "x" * 80, "n": 22, "more": ["é"]}])
+    lines = text.splitlines()
+    assert lines[0].split(" | ")[1].strip() == "n"
+    assert lines[2].startswith("Ana Ruiz ")
+    assert lines[3].endswith('["é"]')
+    assert "…" in lines[3]
