@@ -92,9 +92,9 @@ class BKTree:
                 node = nxt
             self.children[node][d] = at
 
-    def groups(self, of: list[int], forest: Forest) -> list[int]:
-        """For each node the root of its whole subtree, or -1 where it has several; ``of`` is each node's place in the forest."""
-        out = [forest.find(x) for x in of]
+    def whole(self, roots: list[int]) -> list[int]:
+        """For each node the root of its whole subtree, or -1 where it has several; ``roots`` has each node's own root, or -1."""
+        out = list(roots)
         for at in range(len(out) - 1, -1, -1):  # children come after their parents
             for child in self.children[at].values():
                 if out[child] != out[at]:
@@ -121,10 +121,10 @@ def shard_links(tree: list[int], queries: list[int], radius: int = RADIUS) -> li
     values = tree if same else [*tree, *queries]
     forest, n, again = Forest(len(values)), len(tree), 32
     bk, find = BKTree(tree), forest.find
-    single = bk.groups(list(range(n)), forest)
+    single = bk.whole(list(range(n)))
     for k, x in enumerate(queries):
         if k == again:
-            single, again = bk.groups(list(range(n)), forest), 2 * again
+            single, again = bk.whole([find(i) for i in range(n)]), 2 * again
         me = k if same else n + k
         for node in bk.search(x, radius, lambda node: single[node] >= 0 and find(single[node]) == find(me)):  # noqa: B023
             forest.link(me, node)
@@ -169,14 +169,15 @@ class _Shards:
         return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["u", "v"])
 
 
-def deal(rows: DataFrame, by: str, tree_rows: int = TREE_ROWS) -> DataFrame:
+def deal(rows: DataFrame, by: str, most: int = TREE_ROWS, weight: str | None = None, more: DataFrame | None = None) -> DataFrame:
     """Rows (shard, ...) grouped and sorted by shard and part, with part and side after the shard; ``by`` tells the rows of a shard apart.
 
-    Part -1 is a whole shard. A shard above ``tree_rows`` is cut: sub-shard i is the tree (side 0) of parts (i, i..cuts-1) and the
-    queries (side 1) of parts (0..i-1, i), so that every two sub-shards meet once and no task holds more than two of them.
+    Part -1 is a whole shard. A shard of over ``most`` rows, or of more than that in the sum of ``weight``, is cut: sub-shard i is the
+    tree (side 0) of parts (i, i..cuts-1) and the queries (side 1) of parts (0..i-1, i), so that every two sub-shards meet once and
+    no task holds more than two of them. Columns of ``more`` are joined by ``by`` at the end.
     """
-    others = [c for c in rows.columns if c != "shard"]
-    large = rows.groupBy("shard").count().filter(F.col("count") > tree_rows).select("shard", F.ceil(F.col("count") / tree_rows).cast("long").alias("cuts"))
+    others, size = [c for c in rows.columns if c != "shard"], F.sum(weight) if weight else F.count("*")
+    large = rows.groupBy("shard").agg(size.alias("size")).filter(F.col("size") > most).select("shard", F.ceil(F.col("size") / most).cast("long").alias("cuts"))
     large = materialize(large)
     out = rows.select("shard", F.lit(-1).cast("long").alias("part"), F.lit(0).alias("side"), *others)
     if not large.isEmpty():
@@ -186,6 +187,8 @@ def deal(rows: DataFrame, by: str, tree_rows: int = TREE_ROWS) -> DataFrame:
         tree = cut.select("shard", F.explode(F.expr("transform(sequence(own, cuts - 1), j -> own * cuts + j)")).alias("part"), F.lit(0).alias("side"), *others)
         query = cut.filter("own > 0").select("shard", F.explode(F.expr("transform(sequence(0L, own - 1), i -> i * cuts + own)")).alias("part"), F.lit(1).alias("side"), *others)
         out = out.unionByName(tree).unionByName(query)
+    if more is not None:
+        out = out.join(more, by).select("shard", "part", "side", *others, *(c for c in more.columns if c != by))
     return out.repartition("shard", "part").sortWithinPartitions("shard", "part")
 
 

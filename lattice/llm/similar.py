@@ -8,10 +8,10 @@ Blocks of bits can't make the shards: a radius of 73 in 256 bits leaves pigeonho
 all pairs. So a shard holds the texts that agree in one of ``BANDS`` bands of ``ROWS`` minima of the same shingle hashes; a pair
 at the threshold shares no shard with a chance of (1 - 0.8 ** ROWS) ** BANDS = 5e-6.
 
-A shard may hold a third of all rows, so the search goes from cheap to full, and pairs that are already in one group aren't
-searched again. First the least text of a shard, its tree's root, is compared with the whole shard in a join. Then the trees
-of shards that still hold several groups give a spanning forest of hits within ``CLOSE``, then all hits within ``WIDE``
-between different groups.
+A shard may hold a third of all rows, so the search goes from cheap to full, and texts that are already in one group aren't
+compared again. First the least text of a shard, its tree's root, is compared with the whole shard in a join. Then the
+trees of the shards that still hold several groups are searched; a task has the sets of its texts, checks the hits at
+once and returns only the links that join groups, never the pairs. A large shard is cut by the size of its sets.
 """
 
 from __future__ import annotations
@@ -21,21 +21,24 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattice.llm.simhash import TREE_ROWS, BKTree, Forest, bit_counts, deal, dealt_groups
+from lattice.llm.simhash import BKTree, Forest, bit_counts, deal, dealt_groups
 from lattice.llm.words import map_docs, raw
 from lattice.operators.components import connected_components
 from lattice.plans.materialize import bounded_broadcast, heavy_keys, lookup_join, materialize
 
 #: Words in a shingle, least similarity as a fraction, bands and minima per band.
 SHINGLE, SIMILAR, BANDS, ROWS = 5, (4, 5), 40, 6
-#: Bits of a fingerprint, radius of the first search of the trees, radius of the last.
-BITS, CLOSE, WIDE = 256, 48, 73
-#: Shingles whose minima and bits are taken at once, hits in one batch.
+#: Bits of a fingerprint, radius of the search of the trees.
+BITS, WIDE = 256, 73
+#: Shingles whose minima and bits are taken at once, also hits that are checked at once; links in one batch.
 CHUNK, HELD = 1 << 11, 1 << 16
+#: Most shingles in one tree, 32 MB; what a row costs beyond its shingles.
+SETS, ROW = 1 << 22, 100
 _RANDOM = np.random.default_rng(42)
 _TIMES = _RANDOM.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32, False) | np.uint32(1)
 _PLUS = _RANDOM.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32, False)
@@ -77,51 +80,69 @@ def _signature(doc_id: int | None, key: int, text: bytes) -> tuple:
 
 
 class _Trees:
-    """Rows (shard, part, side, key, group, fp), sorted: hits (u, v) within the radius between different groups.
-
-    With ``forest`` a hit that the hits before it already connect is left out.
-    """
-
-    def __init__(self, radius: int, forest: bool):
-        self.radius, self.forest = radius, forest
+    """Rows (shard, part, side, key, grp, size, fp, shingles), sorted by shard and part: links (u, v) that join groups."""
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int]] = []
         for group in dealt_groups(batches):
-            for hit in self.hits(group):
-                found.append(hit)
-                if len(found) == HELD:
-                    yield self.rows(found)
-                    found = []
+            found += self.links(group)
+            if len(found) >= HELD:
+                yield self.rows(found)
+                found = []
         yield self.rows(found)
 
     def rows(self, found: list[tuple[int, int]]) -> pa.RecordBatch:
         ends = np.array(found, np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["u", "v"])
 
-    def hits(self, rows: pa.Table) -> Iterator[tuple[int, int]]:
+    def links(self, rows: pa.Table) -> Iterator[tuple[int, int]]:
         side, keys, group = (rows[c].to_numpy() for c in ("side", "key", "grp"))
-        words = np.ascontiguousarray(rows["fp"].combine_chunks().flatten().to_numpy(zero_copy_only=False)).astype(np.int64).tobytes()
-        width = BITS // 8
-        values = [int.from_bytes(words[i : i + width], "little") for i in range(0, len(words), width)]
         tree = np.flatnonzero(side == 0).tolist()
         queries = np.flatnonzero(side == 1).tolist() or tree
         if not tree or group.min() == group.max():
             return
+        words = _flat(rows["fp"])[1].tobytes()
+        width = BITS // 8
+        values = [int.from_bytes(words[i : i + width], "little") for i in range(0, len(words), width)]
+        edges, shingled = _flat(rows["shingles"])
+        size = np.diff(edges)
         place = {g: i for i, g in enumerate(np.unique(group).tolist())}
-        forest = Forest(len(place))
-        of = [place[g] for g in group.tolist()]
-        bk, again, at = BKTree([values[i] for i in tree]), 32, [of[i] for i in tree]
-        single = bk.groups(at, forest)
+        forest, of = Forest(len(place)), [place[g] for g in group.tolist()]
+        members: dict[int, list[int]] = {}
+        for t in tree:
+            members.setdefault(values[t], []).append(t)
+        bk, again, nodes = BKTree(list(members)), 32, list(members.values())
+        single = bk.whole(_roots(nodes, of, forest))
+        over, under = SIMILAR
         for n, q in enumerate(queries):
-            if self.forest and n == again:
-                single, again = bk.groups(at, forest), 2 * again
-            for node in bk.search(values[q], self.radius, lambda x, q=q: single[x] >= 0 and forest.find(single[x]) == forest.find(of[q])):  # noqa: B023
-                t = tree[node]
-                if forest.find(of[t]) != forest.find(of[q]) and (queries is not tree or self.forest or t < q):
-                    if self.forest:
+            if n == again:
+                single, again = bk.whole(_roots(nodes, of, forest)), 2 * again
+            own = forest.find(of[q])
+            near = (t for node in bk.search(values[q], WIDE, lambda x: single[x] >= 0 and forest.find(single[x]) == own) for t in nodes[node])  # noqa: B023
+            hits = [t for t in near if forest.find(of[t]) != own and under * min(size[t], size[q]) >= over * max(size[t], size[q])]
+            mine = shingled[edges[q] : edges[q + 1]]
+            for part in (hits[i : i + CHUNK] for i in range(0, len(hits), CHUNK)):
+                theirs = np.concatenate([shingled[edges[t] : edges[t + 1]] for t in part])
+                same = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+                common = np.add.reduceat(same, np.concatenate(([0], np.cumsum(size[part])[:-1])))
+                for i in np.flatnonzero(under * common >= over * (size[part] + size[q] - common)).tolist():
+                    t = part[i]
+                    if forest.find(of[t]) != forest.find(of[q]):
                         forest.link(of[t], of[q])
-                    yield max(int(keys[t]), int(keys[q])), min(int(keys[t]), int(keys[q]))
+                        yield max(int(keys[t]), int(keys[q])), min(int(keys[t]), int(keys[q]))
+
+
+def _roots(nodes: list[list[int]], of: list[int], forest: Forest) -> list[int]:
+    """The root of each node's texts, or -1 where they have several."""
+    roots = ({forest.find(of[t]) for t in texts} for texts in nodes)
+    return [r.pop() if len(r) == 1 else -1 for r in roots]
+
+
+def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges and the values of a column of lists of longs."""
+    size = np.concatenate([pc.list_value_length(c).to_numpy(zero_copy_only=False) for c in lists.chunks])
+    values = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in lists.chunks])
+    return np.concatenate(([0], np.cumsum(size))), values
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -137,7 +158,7 @@ def _distance(a: str, b: str) -> Column:
     return reduce(Column.__add__, (F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(BITS // 64)))
 
 
-def components(signed: DataFrame, texts: DataFrame, tree_rows: int = TREE_ROWS) -> DataFrame:
+def components(signed: DataFrame, texts: DataFrame, held: int = SETS) -> DataFrame:
     """(node, component) of the texts with a similar one; ``signed`` has (key, n, fp, bands), ``texts`` (key, text) with repeats."""
     rows = signed.select("key", F.explode("bands").alias("shard"))
     shards = materialize(rows.groupBy("shard").agg(F.min("key").alias("hub"), F.max("key").alias("top")).filter("hub < top").select("shard", "hub"))
@@ -149,26 +170,19 @@ def components(signed: DataFrame, texts: DataFrame, tree_rows: int = TREE_ROWS)
     of = lambda end: prints.select(F.col("key").alias(end), F.col("n").alias(f"n_{end}"), F.col("fp").alias(f"fp_{end}"))
     over, under = SIMILAR
     could = under * F.least("n_u", "n_v") >= over * F.greatest("n_u", "n_v")
-    tried = shared.filter("key != hub").select(F.col("key").alias("u"), F.col("hub").alias("v")).distinct()  # a hub is the least: u > v
-    tried = materialize(tried.join(of("u"), "u").join(of("v"), "v").filter(could & (_distance("fp_u", "fp_v") <= WIDE)).select("u", "v"))
-    near = similar(tried, sets)
+    star = shared.filter("key != hub").select(F.col("key").alias("u"), F.col("hub").alias("v")).distinct()  # a hub is the least: u > v
+    star = materialize(star.join(of("u"), "u").join(of("v"), "v").filter(could & (_distance("fp_u", "fp_v") <= WIDE)).select("u", "v"))
+    near = similar(star, sets)
     group = materialize(connected_components(near))
-    for radius, forest in ((CLOSE, True), (WIDE, False)):
-        placed = shared.join(bounded_broadcast(group.withColumnRenamed("node", "key")), "key", "left").select("shard", "key", F.coalesce("component", "key").alias("grp"))
-        mixed = placed.groupBy("shard").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).filter("a < b").select("shard")
-        placed = placed.join(bounded_broadcast(materialize(mixed)), "shard", "left_semi").join(prints.select("key", "fp"), "key")
-        dealt = deal(placed.select("shard", "key", "grp", "fp"), "key", tree_rows)
-        hits = dealt.mapInArrow(_Trees(radius, forest), "u long, v long").distinct().join(of("u"), "u").join(of("v"), "v").filter(could).select("u", "v")
-        hits = materialize(hits.join(tried, ["u", "v"], "left_anti"))
-        if not hits.isEmpty():
-            tried, more = tried.unionByName(hits), similar(hits, sets)
-            if not more.isEmpty():
-                near = near.unionByName(more)
-                group = materialize(connected_components(near))
-    return group
-
-
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tree_rows: int = TREE_ROWS) -> DataFrame:
+    placed = shared.join(bounded_broadcast(group.withColumnRenamed("node", "key")), "key", "left").select("shard", "key", F.coalesce("component", "key").alias("grp"))
+    mixed = placed.groupBy("shard").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).filter("a < b").select("shard")
+    placed = placed.join(bounded_broadcast(materialize(mixed)), "shard", "left_semi").join(prints, "key")
+    whole = deal(placed.select("shard", "key", "grp", (F.col("n") + ROW).alias("size"), "fp"), "key", held, "size", sets)
+    more = materialize(whole.mapInArrow(_Trees(), "u long, v long").distinct())
+    return group if more.isEmpty() else materialize(connected_components(near.unionByName(more)))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: int = SETS) -> DataFrame:
     """(doc_id, key, root, component_id): a row for each row of ``docs``.
 
     key is the hash of the text, root names its group and component_id is the smallest doc_id of the group. Null, empty and blank
@@ -178,7 +192,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     columns = [F.col(id_col).cast("long"), text_key(text_col), raw(text_col)]
     signed = materialize(map_docs(docs, columns, "doc_id long, key long, n long, fp array<long>, bands array<long>", _signature))
     least = materialize(signed.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
-    found = components(signed.select("key", "n", "fp", "bands"), docs.select(columns[1].alias("key"), columns[2].alias("text")), tree_rows)
+    found = components(signed.select("key", "n", "fp", "bands"), docs.select(columns[1].alias("key"), columns[2].alias("text")), held)
     component = found.select(F.col("node").alias("key"), F.col("component").alias("root"))
     placed = least.join(component, "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     table = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "root", "component_id")

@@ -174,12 +174,13 @@ def test_trees_of_similar_texts_keep_all_groups(spark):
         own = passage + [f"w{rng.randrange(4000)}" for _ in range(rng.choice([5, 12, 20, 200]))]
         for _ in range(rng.randrange(1, 4)):
             data.append((len(data), " ".join(own)))
+            data.append((len(data), " ".join(own).upper() + " "))  # another text, the same fingerprint
             own[rng.randrange(60, len(own))] = f"x{k}"
     docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
     expected = sorted(plain_similar_groups(data))
     assert len({g for _, g in expected}) not in (1, len(data))
-    for limit in (simhash.TREE_ROWS, 10):
-        found = similar.similar_groups(docs, tree_rows=limit)
+    for limit in (similar.SETS, 2000):
+        found = similar.similar_groups(docs, held=limit)
         assert sorted((r.doc_id, r.component_id) for r in found.collect()) == expected
 
 
