@@ -1,5 +1,6 @@
 """Quality, sharding, lines, mixing, the language model, the pipeline."""
 
+import hashlib
 import itertools
 import math
 import re
@@ -15,7 +16,8 @@ import corpus_pipeline
 from lattice.llm import hmm, lines, mixing, quality, shards
 from lattice.llm.oracle import ORACLE
 from lattice.llm.queries import QUERIES
-from test_dedup import plain_groups
+from test_dedup import plain_similar_groups
+from tests_llm_helpers import edit_table
 
 SF = "/root/testdata/sf0.001"
 
@@ -388,28 +390,116 @@ def test_against_sql(spark, name):
     assert shown(got.columns, got.collect()) == shown(expected.columns, expected.fetchall())
 
 
+def plain_quality(rows, _):
+    """Rows that neither fail the base rules nor come from a rejected host."""
+    measured = [(r, m, len([x for x in (r[1] or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)])) for r in rows for m in [plain_measure(r[1])]]
+    failed = [(m[0] < 50, 100 * m[4] > 50 * m[0], 10 * m[2] > m[1], 2 * m[3] > n, m[1] < 2 * m[0] or m[1] > 15 * m[0]) for _, m, n in measured]
+    hosts = Counter(r[3] or "" for r in rows)
+    bad = set()
+    for k in range(5):
+        rates, limit = plain_rates({h: sum(f[k] for f, r in zip(failed, rows, strict=True) if (r[3] or "") == h) for h in hosts}, hosts)
+        bad |= {h for h, x in rates.items() if x > limit}
+    gone = {r[0] for r, f in zip(rows, failed, strict=True) if f[0] or f[1] or (r[3] or "") in bad}
+    return [r for r in rows if r[0] is None or r[0] not in gone]
+
+
+def plain_dedup(rows, _):
+    groups = plain_similar_groups([(r[0], r[1]) for r in rows])
+    kept = {}
+    for at, (r, (d, least)) in enumerate(zip(rows, groups, strict=True)):
+        if r[0] is None or d == least:
+            kept.setdefault(at if r[0] is None else (r[0], least), r)
+    return list(kept.values())
+
+
+def plain_decontamination(rows, items):
+    """Rows without any stretch within the budget of edits of a window of an item; a stretch lacks few of the window's words."""
+    said = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = [w[k : k + 25] for t in items for w in [said(t)] if w for k in range(max(1, len(w) - 24))]
+    gone = set()
+    for r in rows:
+        w = said(r[1])
+        bag = Counter(w)
+        if any(sum((Counter(p) - bag).values()) <= len(p) // 5 and edit_table(p, w)[0] <= len(p) // 5 for p in windows):
+            gone.add(r[0])
+    return [r for r in rows if r[0] is None or r[0] not in gone]
+
+
+def plain_mixing(rows, _):
+    text = lambda r: r[1] or ""
+    cell = lambda r: (r[3] or "", r[2] or "", "table" if " | " in text(r) else "loud" if "!! " in text(r) else "markup" if re.search(r"[#$%&*]{3}", text(r)) else "prose")
+    tokens = Counter()
+    for r in rows:
+        tokens[cell(r)] += len(re.findall(r"[^\x20\x09-\x0D]+", text(r)))
+    everything = sum(tokens.values())
+    targets = []
+    for at, e in enumerate((0.5, 0.7, 0.7)):
+        held = Counter()
+        for c, n in tokens.items():
+            held[c[at]] += n
+        held = {k: n for k, n in held.items() if n}
+        most = {k: 1.25 * n / everything for k, n in held.items()}
+        share = {k: min(n**e / sum(x**e for x in held.values()), most[k]) for k, n in held.items()}
+        left, room = 1 - sum(share.values()), sum(most.values()) - sum(share.values())
+        targets.append({k: share[k] + (most[k] - share[k]) * (left / room if room else 0) for k in held})
+    weight = {c: n / everything for c, n in tokens.items()} if everything else {}
+    for _ in range(60):
+        for at, t in enumerate(targets):
+            whole = Counter()
+            for c, w in weight.items():
+                whole[c[at]] += w
+            weight = {c: w * t.get(c[at], 0) / whole[c[at]] if whole[c[at]] else 0 for c, w in weight.items()}
+    total = min([0.6 * everything, *(tokens[c] / w for c, w in weight.items() if w)])
+    unit = lambda d: int(hashlib.md5(f"mix:{'null' if d is None else d}".encode()).hexdigest()[:13], 16) / 2**52
+    return [r for r in rows if tokens[cell(r)] and unit(r[0]) < weight[cell(r)] * total / tokens[cell(r)]]
+
+
+def plain_sharding(rows, _):
+    def place(d, n):
+        u = lambda k: (int(hashlib.md5(f"{'null' if d is None else d}:{k}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        return max((1 / -math.log(u(k)), k) for k in range(n))[1]
+
+    found = [(r[0], len((r[1] or "").encode()) + 8, zlib.crc32((r[1] or "").encode()), place(r[0], 24), place(r[0], 25)) for r in rows]
+    order, slots = sorted(found, key=lambda x: (x[0] is not None, x[0] or 0, x[2], x[1])), Counter()
+    out = []
+    for d, size, crc, shard, grown in order:
+        out.append((d, size, crc, "key", shard, slots[shard], grown))
+        slots[shard] += 1
+    return out
+
+
+PLAIN_STAGES = (plain_quality, plain_dedup, plain_decontamination, plain_mixing, plain_sharding)
+
+
+def check_stages(spark, docs, sf_dir, items):
+    """Every stage, on the rows that its predecessor kept, against its plain version; then the whole run."""
+    now = [tuple(r) for r in docs.collect()]
+    for (name, stage), plain in zip(corpus_pipeline.STAGES, PLAIN_STAGES, strict=True):
+        out = stage(spark, spark.createDataFrame(now, docs.schema), sf_dir)
+        now = plain(now, items)
+        if plain is not plain_sharding:
+            assert out.columns == docs.columns
+        assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, now)), name
+    return now
+
+
 @pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 def test_pipeline(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    now = {r.doc_id: tuple(r) for r in docs.collect()}
-    frame, seen = docs, []
-    for name, stage in corpus_pipeline.STAGES:
-        frame = stage(spark, frame, SF)
-        frame = spark.createDataFrame(frame.collect(), frame.schema)
-        seen.append((name, frame))
-        if name == "source_mixing":
-            kept = {r.doc_id for r in mixing.mix(spark.createDataFrame(list(now.values()), docs.schema)).collect()}
-        elif name == "quality_rules":
-            kept = {d for d, r in now.items() for m in [plain_measure(r[1])] if not (m[0] < 50 or 100 * m[4] > 50 * m[0])}
-        elif name == "simhash_near_dedup":
-            kept = {g[0] for g in plain_groups(list(now.values())) if g[0] == g[2]}
-        elif name == "benchmark_decontamination":
-            items = [re.findall(r"\w+", r.text.lower()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-            kept = {d for d, r in now.items() if not any(" ".join(i) in " ".join(re.findall(r"\w+", r[1].lower())) for i in items)}
-        else:
-            assert {r.doc_id for r in frame.collect()} == set(now)
-            break
-        assert frame.columns == docs.columns
-        assert {r.doc_id for r in frame.collect()} == kept, name
-        now = {d: now[d] for d in kept}
-    assert sorted(map(repr, corpus_pipeline.run(spark, SF).collect())) == sorted(map(repr, frame.collect()))
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    expected = check_stages(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF, items)
+    assert sorted(map(repr, map(tuple, corpus_pipeline.run(spark, SF).collect()))) == sorted(map(repr, expected))
+    assert len(expected) > 20
+
+
+def test_pipeline_on_odd_rows(spark, docs, rows, clashing, empty, tmp_path):
+    """Nulls, empty and very long texts, repeats, clashing columns and empty tables, through every stage and the whole run."""
+    from pyspark.sql import functions as F
+
+    items = [" ".join(rows[4][1].split()[3:30]), "", None, "one two"]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    wide = clashing.select("doc_id", "text", "lang", "source", "n_chars", *(F.col(c) for c in clashing.columns[5:]))
+    expected = check_stages(spark, wide, str(tmp_path), items)
+    wide.write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(repr, map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()))) == sorted(map(repr, expected))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
