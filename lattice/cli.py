@@ -47,7 +47,7 @@ def parser() -> argparse.ArgumentParser:
     add("neighbors", "a neighbourhood", "name", depth=1, type=None, json=False)
     add("path", "a shortest path", "start", "end", max_depth=5, json=False)
     add("schema", "the current schema", json=False)
-    add("export", "write the graph", format="jsonld", output=None)
+    add("export", "write the graph; --rows writes a folder of text files from the executors", format="jsonld", output=None, rows=False)
     add("reset", "empty the graph", hard=False, yes=False)
     add("mcp", "serve tools over standard input and output")
     return out
@@ -144,7 +144,9 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     if a.command == "export":
         if a.format not in service.FORMATS:
             raise SystemExit(f"formats: {', '.join(service.FORMATS)}")
-        if a.output:
+        if a.output and a.rows:
+            service.export_rows(g, a.format).write.text(a.output)
+        elif a.output:
             service.write_export(g, a.format, Path(a.output))
         else:
             sys.stdout.writelines(service.FORMATS[a.format](g.entities, g.relations))

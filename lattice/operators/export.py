@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from xml.sax.saxutils import escape, quoteattr
+from xml.sax.saxutils import quoteattr
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-
+#: Keys of a GraphML node that an attribute may not take.
+RESERVED = ("label", "entity_type")
 IRI = "https://lattice.local/"
 # Schema.org types of common entity types, by lower-cased name.
 SCHEMA_ORG = {
@@ -125,20 +126,49 @@ def graphml_edges(relations: DataFrame, entities: DataFrame) -> DataFrame:
     return best.select(F.col("subject_id").cast("string").alias("source"), F.col("object_id").cast("string").alias("target"), F.col("e.predicate").alias("predicate"), confidence.alias("confidence"))
 
 
+def _xml(text: Column) -> Column:
+    for mark, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(mark), F.lit(escaped))
+    return text
+
+
+def graphml_data(entities: DataFrame) -> DataFrame:
+    """(id, place, key, value): what a node carries: its label, its type, its attributes in order.
+
+    Attributes named like a reserved key get the prefix attr_. Text stands as it is, other values as JSON.
+    """
+    members = F.coalesce(F.map_entries(F.from_json("attributes", "map<string,string>")), F.array().cast("array<struct<key:string,value:string>>"))
+    name = lambda k: F.when(k.isin(*RESERVED), F.concat(F.lit("attr_"), k)).otherwise(k)
+    pair = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
+    own = F.array(pair(F.lit("label"), F.col("canonical_name")), pair(F.lit("entity_type"), F.col("entity_type")))
+    more = F.transform(members, lambda e: pair(name(e["key"]), F.coalesce(e["value"], F.lit("null"))))
+    return entities.select("id", F.posexplode(F.concat(own, more)).alias("place", "d")).select("id", "place", "d.key", "d.value")
+
+
+def graphml_lines(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """(part, id, other, line): the lines of the document in the order of the first three columns; part 0 is the head, 3 the end."""
+    spark = entities.sparkSession
+    keys = sorted(r[0] for r in graphml_data(entities).select("key").distinct().collect() if r[0] not in ("label", "entity_type"))
+    named = [*(("node", x) for x in ("label", "entity_type", *keys)), *(("edge", x) for x in ("label", "predicate", "confidence"))]
+    ids = {of: f"d{n}" for n, of in enumerate(named)}
+    head = ['<?xml version="1.0" encoding="utf-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">']
+    head += [f'  <key id="{ids[of, x]}" for="{of}" attr.name={quoteattr(x)} attr.type="string"/>' for of, x in named]
+    schema = "part int, id long, other long, line string"
+    top = spark.createDataFrame([(0, i, 0, x) for i, x in enumerate([*head, '  <graph edgedefault="directed">'])], schema)
+    end = spark.createDataFrame([(3, 0, 0, "  </graph>"), (3, 1, 0, "</graphml>")], schema)
+    known = F.broadcast(spark.createDataFrame([(x, i) for (of, x), i in ids.items() if of == "node"], "key string, place_id string"))
+    data = lambda k, v: F.concat(F.lit('<data key="'), k, F.lit('">'), _xml(v), F.lit("</data>"))
+    inside = F.array_sort(F.collect_list(F.struct("place", data(F.col("place_id"), F.col("value")).alias("x"))))
+    nodes = graphml_data(entities).join(known, "key").groupBy("id").agg(F.array_join(F.transform(inside, lambda d: d["x"]), "").alias("x"))
+    node = F.concat(F.lit('    <node id="'), F.col("id").cast("string"), F.lit('">'), "x", F.lit("</node>"))
+    edges = graphml_edges(relations, entities)
+    edge = F.concat(F.lit('    <edge source="'), "source", F.lit('" target="'), "target", F.lit('">'), *(data(F.lit(ids["edge", k]), F.col(c)) for k, c in (("label", "predicate"), ("predicate", "predicate"), ("confidence", "confidence"))), F.lit("</edge>"))
+    zero = F.lit(0).cast("long").alias("other")
+    body = nodes.select(F.lit(1).alias("part"), "id", zero, node.alias("line")).unionByName(edges.select(F.lit(2).alias("part"), F.col("source").cast("long").alias("id"), F.col("target").cast("long").alias("other"), edge.alias("line")))
+    return top.unionByName(body).unionByName(end)
+
+
 def graphml(entities: DataFrame, relations: DataFrame) -> Iterator[str]:
-    """The whole document in pieces; attributes named like a reserved key get the prefix attr_."""
-    keys = sorted(r[0] for r in entities.select(F.explode(F.json_object_keys("attributes"))).distinct().collect())
-    names = {k: f"attr_{k}" if k in ("label", "entity_type") else k for k in keys}
-    yield '<?xml version="1.0" encoding="utf-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n'
-    ids = {}
-    for n, (of, name) in enumerate([*(("node", x) for x in ("label", "entity_type", *names.values())), *(("edge", x) for x in ("label", "predicate", "confidence"))]):
-        ids[of, name] = f"d{n}"
-        yield f'  <key id="d{n}" for="{of}" attr.name={quoteattr(name)} attr.type="string"/>\n'
-    data = lambda of, name, value: f"<data key=\"{ids[of, name]}\">{escape(value)}</data>"
-    yield '  <graph edgedefault="directed">\n'
-    for r in entities.orderBy("id").toLocalIterator():
-        extra = "".join(data("node", names[k], v if isinstance(v, str) else json.dumps(v)) for k, v in json.loads(r["attributes"] or "{}").items())
-        yield f'    <node id="{r["id"]}">{data("node", "label", r["canonical_name"])}{data("node", "entity_type", r["entity_type"])}{extra}</node>\n'
-    for r in graphml_edges(relations, entities).orderBy("source", "target").toLocalIterator():
-        yield f'    <edge source="{r["source"]}" target="{r["target"]}">{data("edge", "label", r["predicate"])}{data("edge", "predicate", r["predicate"])}{data("edge", "confidence", r["confidence"])}</edge>\n'
-    yield "  </graph>\n</graphml>\n"
+    """The whole document in pieces, streamed from the executors."""
+    for row in graphml_lines(entities, relations).orderBy("part", "id", "other").toLocalIterator():
+        yield row["line"] + "\n"

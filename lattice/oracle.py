@@ -178,3 +178,30 @@ _sql(
 )
 _sql("export_graphml_edges", "SELECT subject_id::VARCHAR AS source, object_id::VARCHAR AS target, arg_max(predicate, id) AS predicate, coalesce(arg_max(coalesce(confidence, -1), id)::VARCHAR, '') AS confidence FROM named GROUP BY subject_id, object_id")
 ORACLE["export_graphml_edges"] = ORACLE["export_graphml_edges"].replace("coalesce(arg_max(coalesce(confidence, -1), id)::VARCHAR, '')", "coalesce(nullif(arg_max(coalesce(confidence, -1), id), -1)::VARCHAR, '')")
+
+_sql(
+    "merge_attributes",
+    """SELECT id, canonical_name, entity_type, attributes FROM e WHERE entity_type <> 'part'
+UNION ALL SELECT 5000000000000 + p_partkey, p_name, 'part', CASE WHEN n = 1 THEN '{"brand":"' || p_brand || '"' || CASE WHEN p_size > 25 THEN ',"size":' || p_size ELSE '' END || '}'
+  ELSE '{"brand": "' || p_brand || '"' || coalesce(', "size": ' || last_size, '') || '}' END FROM b JOIN part ON p_partkey = least""",
+    "b AS (SELECT min(p_partkey) AS least, count(*) AS n, arg_max(p_size, p_partkey) FILTER (p_size > 25) AS last_size FROM part GROUP BY p_brand)",
+)
+_sql(
+    "merge_mentions",
+    "SELECT m.id, 5000000000000 + least AS entity_id, surface_form, chunk_id FROM m JOIN part ON entity_id = 5000000000000 + p_partkey JOIN b USING (p_brand)",
+    "b AS (SELECT p_brand, min(p_partkey) AS least FROM part GROUP BY p_brand)",
+)
+_sql(
+    "search_chunks",
+    """SELECT o_orderkey::BIGINT AS chunk_id, 'order ' || o_orderkey || ' ' || o_orderstatus || ' ' || o_orderpriority AS chunk_text, 'customers/' || c_name || '.md' AS document_path, round(distance, 6) AS distance,
+  coalesce((SELECT string_agg(canonical_name || ':part', ',' ORDER BY canonical_name) FROM (SELECT DISTINCT canonical_name, entity_id FROM m JOIN e ON entity_id = e.id WHERE chunk_id = o_orderkey)), '') AS entities
+FROM hits JOIN orders ON vec_id = o_orderkey JOIN customer ON o_custkey = c_custkey""",
+    """q AS (SELECT arg_min(embedding::DOUBLE[], vec_id) AS x FROM embeddings), hits AS (SELECT vec_id, list_distance(embedding::DOUBLE[], x) AS distance FROM embeddings, q
+  WHERE vec_id IN (SELECT o_orderkey FROM orders) ORDER BY distance, vec_id LIMIT 10)""",
+)
+ORACLE["stale_documents"] = "SELECT doc_id, sha256(text) AS content_hash FROM documents WHERE doc_id % 4 <= 1"
+_sql(
+    "export_graphml_nodes",
+    """SELECT id, 0 AS place, 'label' AS key, canonical_name AS value FROM e UNION ALL SELECT id, 1, 'entity_type', entity_type FROM e
+UNION ALL SELECT id, (1 + i)::INT, json_keys(attributes)[i], json_extract_string(attributes, '$.' || json_keys(attributes)[i]) FROM (SELECT *, unnest(range(1, len(json_keys(attributes)) + 1)) AS i FROM e)""",
+)

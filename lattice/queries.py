@@ -268,3 +268,50 @@ def export_graphml_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.graphml_edges(star.relations(spark, sf_dir), star.entities(spark, sf_dir)).select("source", "target", "predicate", "confidence")
 
 
+def _merged_parts(spark: SparkSession, sf_dir: str) -> Graph:
+    """Parts of a brand merged into the one of least id."""
+    part = star.table(spark, sf_dir, "part")
+    least = part.groupBy("p_brand").agg(F.min("p_partkey").alias("least"))
+    mapping = part.join(least, "p_brand").filter("p_partkey != least").select(star.entity_id("part", F.col("p_partkey")).alias("old_id"), star.entity_id("part", F.col("least")).alias("survivor"))
+    entities = star.entities(spark, sf_dir).withColumns({"created_at": F.lit(""), "updated_at": F.lit("")})
+    graph = Graph.empty(spark).with_(entities=entities, relations=star.relations(spark, sf_dir).limit(0), mentions=star.mentions(spark, sf_dir))
+    return apply_merges(graph, mapping)
+
+
+@query
+def merge_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All entities after the merge of parts; attributes of merged ones are folded."""
+    return _merged_parts(spark, sf_dir).entities.select("id", "canonical_name", "entity_type", "attributes")
+
+
+@query
+def merge_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All mentions, those of merged parts repointed."""
+    return _merged_parts(spark, sf_dir).mentions.select("id", "entity_id", "surface_form", "chunk_id")
+
+
+@query
+def search_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten chunks nearest to a vector with path and entities; the vectors are those of the embeddings table."""
+    graph, vectors = _graph(spark, sf_dir), star.table(spark, sf_dir, "embeddings")
+    probe = vectors.agg(F.min_by("embedding", "vec_id")).first()[0]
+    none = F.lit(None).cast("int")
+    chunks = graph.chunks.withColumns({"char_start": none, "char_end": none})
+    some = vectors.join(graph.chunks.select(F.col("id").alias("vec_id")), "vec_id", "left_semi")
+    found = search.search_chunks(graph.with_(chunks=chunks, chunk_vectors=some.select(F.col("vec_id").alias("chunk_id"), "embedding")), probe, 10)
+    named = F.array_join(F.transform("entities", lambda e: F.concat_ws(":", e["name"], e["type"])), ",")
+    return found.select("chunk_id", "chunk_text", "document_path", F.round("distance", 6).alias("distance"), named.alias("entities"))
+
+
+@query
+def stale_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents due for extraction, were every fourth never extracted and every fourth extracted from another text."""
+    docs = star.table(spark, sf_dir, "documents")
+    now = content_hash(F.col("text"))
+    last = F.when(F.col("doc_id") % 4 == 1, "old").when(F.col("doc_id") % 4 > 1, now)
+    return upsert.stale(docs.select("doc_id", now.alias("content_hash"), last.alias("last_extracted_hash"))).select("doc_id", "content_hash")
+
+
+@query
+def export_graphml_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.graphml_data(star.entities(spark, sf_dir))

@@ -75,9 +75,11 @@ def write_export(g: Graph, kind: str, output: Path) -> None:
 
 
 def export_rows(g: Graph, kind: str) -> DataFrame:
-    """An export as rows of text, for graphs that one file can't hold."""
+    """An export as rows of text, for graphs that one file can't hold; those of GraphML are in the order of the document."""
     if kind == "cypher":
         return export.cypher_lines(g.entities, g.relations).select("line")
     if kind == "jsonld":
         return export.jsonld_nodes(g.entities).select(F.col("node").alias("line")).unionByName(export.jsonld_edges(g.relations, g.entities).select(F.col("edge").alias("line")))
+    if kind == "graphml":
+        return export.graphml_lines(g.entities, g.relations).orderBy("part", "id", "other").select("line")
     raise ValueError(f"no row form of {kind}")
