@@ -196,8 +196,8 @@ class Scanner:
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans): a row for each row of ``docs``; spans are (kind, start, end) in code points, end exclusive.
 
-    Matches of a kind are leftmost and don't overlap; those of different kinds may. A null or empty text has no spans. Repeated
-    rows are rows of their own, ids may be null. Other columns are ignored; an empty table gives no rows.
+    Matches of a kind are leftmost and don't overlap; those of different kinds may. A null or empty text has no spans; very long ones are
+    scanned whole. Repeated rows are rows of their own, ids may be null. Other columns are ignored; an empty table gives no rows.
     """
     return docs.select(F.col(id_col).cast("long"), raw(text_col)).mapInArrow(Scanner(rules), f"doc_id long, spans {SPANS}")
 

@@ -33,11 +33,12 @@ def shard(docs: DataFrame, weights: Sequence[float] = (1.0,) * 24, grown_weight:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard): a row for each row of ``docs``.
 
     size is UTF-8 bytes plus 8. grown_shard is the shard with one more of ``grown_weight``. Slots number each shard's rows from
-    0 without a gap, by doc_id (nulls first), CRC and size. A null text is empty; null ids share one key. Rows that
-    repeat an id share its shard. Other columns are ignored; an empty table gives no rows.
+    0 without a gap, by doc_id (nulls first), CRC and size. A null text is empty, a very long one is read once; null ids share one key.
+    Rows that repeat an id share its shard. Other columns are ignored; an empty table gives no rows.
 
     Rows are dealt by range over (shard, id, CRC, size, input position), so neither a shard nor a repeated id lands in
-    one task; a range's first slot is the count of the rows in the ranges before it.
+    one task, and numbered in the order of their partition; a shard's first slot in a partition is the count of its rows in
+    the partitions before it.
     """
     text, n = F.coalesce(F.col(text_col).cast("string"), F.lit("")), len(weights)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
@@ -47,11 +48,11 @@ def shard(docs: DataFrame, weights: Sequence[float] = (1.0,) * 24, grown_weight:
     slim = slim.withColumn("grown_shard", F.array_max("_all")["shard"]).withColumn("shard", F.array_max(F.filter("_all", lambda s: s["shard"] < n))["shard"]).drop("_all")
     placed = materialize(slim)
     parts = max(1, placed.count() // SLOT_ROWS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    order = ["doc_id", "text_crc32", "size"]
-    ranged = materialize(placed.withColumn("_at", F.monotonically_increasing_id()).repartitionByRange(parts, "shard", *order, "_at").drop("_at").withColumn("_range", F.spark_partition_id()))
-    counts = ranged.groupBy("shard", "_range").agg(F.count("*").alias("_n"))
+    order = ["shard", "doc_id", "text_crc32", "size", "_at"]
+    dealt = placed.withColumn("_at", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ranged = materialize(dealt.drop("_at").withColumns({"_range": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}))
+    counts = ranged.groupBy("shard", "_range").agg(F.count("*").alias("_n"), F.min("_place").alias("_start"))
     before = F.sum("_n").over(Window.partitionBy("shard").orderBy("_range")) - F.col("_n")
-    first = bounded_broadcast(materialize(counts.select("shard", "_range", before.alias("_first"))))
-    within = F.row_number().over(Window.partitionBy("shard", "_range").orderBy(*order)) - 1
-    out = ranged.withColumn("_within", within).join(first, ["shard", "_range"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_first") + F.col("_within")).cast("long").alias("slot"), "grown_shard")
+    first = bounded_broadcast(materialize(counts.select("shard", "_range", (before - F.col("_start")).alias("_first"))))
+    slot = (F.col("_place") + F.col("_first")).cast("long").alias("slot")
+    return ranged.join(first, ["shard", "_range"]).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", slot, "grown_shard")

@@ -79,8 +79,8 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, default: str
     """(page_id, host, path, rule, verdict): a row for each row of ``pages``.
 
     A rule fits its host and all subdomains of it when the path starts with the rule's. Where none fits, rule is null and the
-    verdict is ``default``. A null url, or one without ``://``, has an empty host and path. Repeated rows are rows of their
-    own, ids may be null. Other columns are ignored; an empty table gives no rows.
+    verdict is ``default``. A null url, or one without ``://``, has an empty host and path. Very long urls are
+    read whole. Repeated rows are rows of their own, ids may be null. Other columns are ignored; an empty table gives no rows.
     """
     if sum(len(h) + len(p) for _, h, p in rules) > rule_bytes:
         return _by_join(pages, rules, default, id_col, url_col)
@@ -101,8 +101,9 @@ def _by_join(pages: DataFrame, rules: tuple[Rule, ...], default: str, id_col: st
     host = F.translate(F.regexp_extract(rest, r"^([^/]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     parsed = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), F.regexp_extract(rest, r"(?s)^[^/]*(/.*)?$", 1).alias("path"))
     distinct = parsed.select("host", "path").distinct()
-    suffixes = F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> concat_ws('.', slice(split(host, '[.]'), i, 1000000)))")
-    heads = F.expr("transform(sequence(1, size(split(path, '/')) - 1), i -> concat(concat_ws('/', slice(split(path, '/'), 1, i)), '/'))")
+    labels, deep = max(h.count(".") + 1 for _, h, _ in rules), max(p.count("/") for _, _, p in rules)  # no rule is longer, so no key need be
+    suffixes = F.expr(f"transform(sequence(1, least({labels}, size(split(host, '[.]')))), i -> substring_index(host, '.', -i))")
+    heads = F.expr(f"transform(sequence(1, least({deep}, size(split(path, '/', {deep + 2})) - 1)), i -> concat(substring_index(path, '/', i), '/'))")
     keys = distinct.filter("path like '/%'").select("host", "path", F.explode(suffixes).alias("rule_host")).select("*", F.explode(heads).alias("head"))
     table = spark.createDataFrame([(v, h, p, p[: p.rindex("/") + 1], len(h) + len(p)) for v, h, p in rules], "rule_verdict string, rule_host string, rule_path string, head string, length int")
     best = keys.join(table, ["rule_host", "head"]).filter(F.col("path").startswith(F.col("rule_path")))
