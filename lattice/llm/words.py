@@ -67,8 +67,12 @@ def arrow_schema(ddl: str) -> pa.Schema:
 def drop_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose key is not in ``ids``, all columns as they were; rows with a null key stay.
 
-    The ids are broadcast when counted to be few, else the join shuffles.
+    The ids are broadcast when counted to be few, else the join shuffles all rows but those with a null key, which would meet in one task.
     """
-    from lattice.plans.materialize import bounded_broadcast
+    from lattice.plans.materialize import BROADCAST_ROWS
 
-    return docs.join(bounded_broadcast(ids.select(key).distinct()), key, "left_anti").select(*docs.columns)
+    named = ids.select(key).distinct()
+    if named.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return docs.join(F.broadcast(named), key, "left_anti").select(*docs.columns)
+    some = docs.filter(F.col(key).isNotNull()).join(named, key, "left_anti").select(*docs.columns)
+    return some.unionByName(docs.filter(F.col(key).isNull()))
