@@ -49,6 +49,7 @@ def parser() -> argparse.ArgumentParser:
     add("schema", "the current schema", json=False)
     add("export", "write the graph; --rows writes a folder of text files from the executors", format="jsonld", output=None, rows=False)
     add("reset", "empty the graph", hard=False, yes=False)
+    add("vacuum", "delete the tables of older versions of the graph")
     add("mcp", "serve tools over standard input and output")
     return out
 
@@ -135,6 +136,9 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             return 1
         store.reset(a.hard)
         return 0
+    if a.command == "vacuum":
+        print(f"deleted {store.vacuum()} tables")
+        return 0
     if a.command == "mcp":
         from lattice.server import serve
 

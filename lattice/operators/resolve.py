@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattice.operators.components import connected_components
-from lattice.operators.search import similar_pairs
+from lattice.operators.search import similar_links
 from lattice.operators.stats import dedupe_relations, frequent_surface
 from lattice.operators.upsert import fold_attributes
 from lattice.plans.materialize import bounded_broadcast, materialize
@@ -73,7 +73,7 @@ def mention_clusters(graph: Graph, threshold: float = 0.85, max_size: int = 10,
     rows = named.join(graph.mention_vectors, "mention_id")
     if count_entities:
         rows = rows.groupBy("entity_id", "embedding").agg(F.min("mention_id").alias("mention_id"), F.first("entity_type").alias("entity_type"))
-    pairs = similar_pairs(rows, "mention_id", threshold, "entity_type")
+    pairs = similar_links(rows, "mention_id", threshold, "entity_type")
     found = materialize(cluster_ladder(pairs, threshold, max_size))
     return found.join(found.groupBy("cluster").agg(F.count("*").alias("n")).filter("n > 1").select("cluster"), "cluster", "left_semi").select("node", "cluster")
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,31 +46,55 @@ class _Pairs:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
-            for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != now:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0)
+            cuts = np.flatnonzero(pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)) + 1
+            for a, b in pairwise([0, *cuts.tolist(), batch.num_rows]):
+                if (key := keys[a].as_py()) != now:
                     yield from self.pairs(held)
                     now, held = key, []
-                held.append(row)
+                held.append(batch.slice(a, b - a))
         yield from self.pairs(held)
 
-    def pairs(self, rows: list) -> Iterator[pa.RecordBatch]:
-        left, right = [r for r in rows if r[0] == 0], [r for r in rows if r[0] == 1]
-        within = not right
-        right = left if within else right
-        if not left:
+    def pairs(self, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not parts:
+            return
+        side, ids, unit = (np.concatenate(x) for x in zip(*((p.column(1).to_numpy(), p.column(2).to_numpy(), _unit(p.column(3))) for p in parts), strict=True))
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(left):
             return
-        unit = []
-        for side in (left, right):
-            m = np.array([r[2] for r in side], np.float64)
-            n = np.sqrt((m * m).sum(axis=1, keepdims=True))
-            unit.append(np.divide(m, n, out=np.zeros_like(m), where=n > 0))
-        sims = unit[0] @ unit[1].T
+        within = not len(right)
+        right = left if within else right
+        sims = unit[left] @ unit[right].T
         i, j = np.nonzero(sims >= self.threshold)
-        a, b = np.array([r[1] for r in left])[i], np.array([r[1] for r in right])[j]
+        a, b = ids[left][i], ids[right][j]
         ok = (a < b) if within else np.ones(len(a), bool)
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[ok]), pa.array(np.maximum(a, b)[ok]), pa.array(sims[i, j][ok])], ["a", "b", "similarity"])
 
 
+def _unit(vectors: pa.ListArray) -> np.ndarray:
+    """The vectors of a column, of one length, scaled to length 1; zero vectors stay zero."""
+    m = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
+def similar_links(vectors: DataFrame, key: str, threshold: float, block_col: str, vector_col: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b, similarity): links with the components of :func:`similar_pairs` at the threshold and at every higher one.
+
+    Equal vectors of a block value are linked to the least id of theirs, with similarity 1, and only that one is compared; a million
+    repeats of a vector are a million links and not their square. A zero vector is like nothing, itself included.
+    """
+    rows = vectors.select(F.col(block_col).cast("string").alias("value"), F.col(key).cast("long").alias("id"), F.col(vector_col).alias("vector")).filter("value is not null")
+    least = materialize(rows.groupBy("value", "vector").agg(F.min("id").alias("least"), F.count("*").alias("n")))
+    pairs = similar_pairs(least, "least", threshold, "value", "vector", block_rows)
+    again = least.filter((F.col("n") > 1) & F.exists("vector", lambda x: x != 0)).select("value", "vector", "least")
+    repeats = rows.join(bounded_broadcast(again), ["value", "vector"]).filter("id != least")
+    linked = repeats.select(F.col("least").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    return pairs.unionByName(linked.filter(F.col("similarity") >= threshold))
+
+
 def similar_pairs(vectors: DataFrame, key: str, threshold: float, block_col: str | None = None, vector_col: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(a, b, similarity): all pairs a < b of one block value with cosine similarity at or above the threshold.
 

@@ -15,10 +15,14 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 
 #: Rows a size-checked broadcast may have; at two longs a row this is some 40 MB of hash table.
 BROADCAST_ROWS = 1_000_000
 
+#: Bytes it may have, counted over its text, binary and array columns.
+BROADCAST_BYTES = 1 << 27
+
 #: A key is heavy when it has over 1/HEAVY of all rows, so there are fewer than HEAVY heavy keys.
 HEAVY = 1_000
 
@@ -80,9 +84,14 @@ def _clean() -> None:
             _delete(spark, path)
 
 
-def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it is counted to have at most ``rows`` rows, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it is counted to have at most ``rows`` rows and ``most`` bytes, else as it is."""
+    few = df.limit(rows + 1)
+    wide = {f.name: F.octet_length(F.col(f"`{f.name}`")) for f in df.schema.fields if isinstance(f.dataType, (StringType, BinaryType))}
+    wide |= {f.name: F.size(f"`{f.name}`") * 16 for f in df.schema.fields if isinstance(f.dataType, ArrayType)}
+    size = F.coalesce(F.sum(sum((F.coalesce(c, F.lit(0)).cast("long") for c in wide.values()), F.lit(16))), F.lit(0))
+    n, held = few.agg(F.count("*"), size).first()
+    return F.broadcast(df) if n <= rows and held <= most else df
 
 
 def heavy_keys(counts: DataFrame, key: str, n: str) -> DataFrame:

@@ -195,13 +195,13 @@ def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def similarity_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = search.similar_pairs(star.table(spark, sf_dir, "embeddings"), "vec_id", PAIR_THRESHOLD, "label")
+    pairs = search.similar_links(star.table(spark, sf_dir, "embeddings"), "vec_id", PAIR_THRESHOLD, "label")
     return connected_components(pairs, "a", "b")
 
 
 @query
 def oversize_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = search.similar_pairs(star.table(spark, sf_dir, "embeddings"), "vec_id", LADDER_START, "label")
+    pairs = search.similar_links(star.table(spark, sf_dir, "embeddings"), "vec_id", LADDER_START, "label")
     return cluster_ladder(pairs, LADDER_START, LADDER_SIZE)
 
 

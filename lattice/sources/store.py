@@ -87,6 +87,15 @@ class Store:
         pointer["kv"] |= kv or {}
         self._point(pointer)
 
+    def vacuum(self) -> int:
+        """Delete the written tables that the present version doesn't point to, and return how many; older versions can't be read after it."""
+        fs, top = self._fs(f"{self.path}/tables")
+        kept = {self._fs(p)[1].getName() for p in self.pointer()["tables"].values()}
+        old = [v.getPath() for t in (fs.listStatus(top) if fs.exists(top) else []) for v in fs.listStatus(t.getPath()) if v.getPath().getName() not in kept]
+        for path in old:
+            fs.delete(path, True)
+        return len(old)
+
     def reset(self, hard: bool = False) -> None:
         """Empty the graph's tables and forget what was extracted; ``hard`` empties documents, chunks and their vectors too."""
         graph = self.read()

@@ -75,6 +75,10 @@ def test_build_and_rebuild(spark, corpus, tmp_path):
     assert store.read().documents.count() == 2
     build.ingest_scan(store, scan_markdown(spark, str(corpus)), config, prune=True)
     assert store.read().documents.count() == 1
+    whole = {t: df.count() for t, df in store.read().tables().items()}
+    assert store.vacuum() > 0
+    assert {t: df.count() for t, df in store.read().tables().items()} == whole
+    assert store.vacuum() == 0
     store.reset()
     assert store.read().entities.count() == 0
     assert store.read().documents.filter("last_extracted_hash is null").count() == 1

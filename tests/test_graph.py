@@ -9,7 +9,7 @@ import pytest
 from lattice import cli, server, service
 from lattice.operators import resolve, stats
 from lattice.operators.components import connected_components
-from lattice.operators.search import nearest, similar_pairs
+from lattice.operators.search import nearest, similar_links, similar_pairs
 from lattice.sources.models import HashEmbedder
 
 
@@ -141,6 +141,17 @@ def test_similar_pairs_in_blocks(spark):
         assert {(r.a, r.b) for r in similar_pairs(df, "id", 0.7, "kind", block_rows=block).collect()} == expected
 
 
+def test_links_of_equal_vectors_are_few(spark):
+    """Repeats of a vector add a link each; components are those of all pairs, whatever the threshold."""
+    rows = [(i, [1.0, 0.0], "x") for i in range(40)] + [(100 + i, [0.0, 0.0], "x") for i in range(5)] + [(200, [0.9, 0.1], "x"), (201, [0.0, 1.0], "x"), (202, [0.0, 1.0], "x"), (300, [1.0, 0.0], "y"), (301, [1.0, 0.0], None)]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>, kind string")
+    links = similar_links(df, "id", 0.9, "kind")
+    assert links.count() == 39 + 1 + 1
+    for threshold in (0.9, 0.999, 1.1):
+        every, few = (sorted(map(tuple, connected_components(f(df, "id", 0.9, "kind").filter(f"similarity >= {threshold} - 1e-9"), "a", "b").collect())) for f in (similar_pairs, similar_links))
+        assert every == few
+
+
 def test_nearest(spark):
     df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [3.0, 4.0]), (3, [0.0, 1.0])], "id long, embedding array<float>")
     assert [(r.id, r.distance) for r in nearest(df, "id", [0.0, 0.0], 2).collect()] == [(1, 0.0), (3, 1.0)]
