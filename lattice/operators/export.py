@@ -6,11 +6,10 @@ import json
 from collections.abc import Iterator
 from xml.sax.saxutils import quoteattr
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
+from lattice.functions.jsons import MEMBERS, joined, json_members, json_string, member, value_text
 #: Keys of a GraphML node that an attribute may not take.
 RESERVED = ("label", "entity_type")
 IRI = "https://lattice.local/"
@@ -27,44 +26,38 @@ SCHEMA_ORG = {
 }
 
 
-def _quoted(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def _members(text: Column) -> Column:
+    return F.coalesce(json_members(text), F.array().cast(MEMBERS))
 
 
-def cypher_value(value: object) -> str:
-    """A Cypher literal: true and false, null, bare numbers, quoted text; other values as quoted JSON."""
-    if isinstance(value, str):
-        return _quoted(value)
-    if value is None or isinstance(value, (bool, int, float)):
-        return json.dumps(value)
-    return _quoted(json.dumps(value))
+def _quoted(text: Column) -> Column:
+    escaped = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
+    return F.concat(F.lit("'"), escaped, F.lit("'"))
 
 
-def cypher_props(props: dict) -> str:
-    inside = ", ".join(f"{k.replace(' ', '_').replace('-', '_')}: {cypher_value(v)}" for k, v in props.items())
-    return "{" + inside + "}"
+def cypher_props(members: Column) -> Column:
+    """A Cypher map: true and false, null, bare numbers, quoted text; other values as quoted JSON."""
+    name = lambda x: F.translate(x["key"], " -", "__")
+    value = lambda x: F.when(x["kind"] == "plain", x["text"]).otherwise(_quoted(x["text"]))
+    inside = F.transform(members, lambda x: F.concat(name(x), F.lit(": "), value(x)))
+    return F.concat(F.lit("{"), F.array_join(inside, ", "), F.lit("}"))
 
 
-@F.pandas_udf(StringType())
-def _entity_props(names: pd.Series, attributes: pd.Series) -> pd.Series:
-    return pd.Series([cypher_props({"name": n, **json.loads(a or "{}")}) for n, a in zip(names, attributes, strict=True)])
-
-
-@F.pandas_udf(StringType())
-def _relation_props(attributes: pd.Series, confidence: pd.Series) -> pd.Series:
-    out = []
-    for a, c in zip(attributes, confidence, strict=True):
-        props = json.loads(a or "{}") | ({} if pd.isna(c) else {"confidence": float(c)})
-        out.append(f" {cypher_props(props)}" if props else "")
-    return pd.Series(out, dtype=object)
+def _confidence(key: str) -> Column:
+    """A member of the confidence, where there is one."""
+    some = F.array(member(key, F.col("confidence").cast("double").cast("string"), "plain"))
+    return F.when(F.col("confidence").isNotNull() & ~F.isnan("confidence"), some).otherwise(F.array().cast(MEMBERS))
 
 
 def cypher_lines(entities: DataFrame, relations: DataFrame) -> DataFrame:
     """(kind, id, line): a CREATE statement for each entity, then for each relation whose ends exist."""
     label = F.replace("entity_type", F.lit(" "), F.lit("_"))
-    nodes = entities.select(F.lit("entity").alias("kind"), "id", F.concat(F.lit("CREATE (e"), F.col("id").cast("string"), F.lit(":"), label, F.lit(" "), _entity_props("canonical_name", "attributes"), F.lit(");")).alias("line"))
+    props = joined(F.array(member("name", F.col("canonical_name"))), _members(F.col("attributes")))
+    nodes = entities.select(F.lit("entity").alias("kind"), "id", F.concat(F.lit("CREATE (e"), F.col("id").cast("string"), F.lit(":"), label, F.lit(" "), cypher_props(props), F.lit(");")).alias("line"))
     kind = F.replace(F.upper("predicate"), F.lit(" "), F.lit("_"))
-    text = F.concat(F.lit("CREATE (e"), F.col("subject_id").cast("string"), F.lit(")-[:"), kind, _relation_props("attributes", "confidence"), F.lit("]->(e"), F.col("object_id").cast("string"), F.lit(");"))
+    told = joined(_members(F.col("attributes")), _confidence("confidence"))
+    more = F.when(F.size(told) > 0, F.concat(F.lit(" "), cypher_props(told))).otherwise("")
+    text = F.concat(F.lit("CREATE (e"), F.col("subject_id").cast("string"), F.lit(")-[:"), kind, more, F.lit("]->(e"), F.col("object_id").cast("string"), F.lit(");"))
     return nodes.unionByName(_with_ends(relations, entities).select(F.lit("relation").alias("kind"), "id", text.alias("line")))
 
 
@@ -73,33 +66,33 @@ def _with_ends(relations: DataFrame, entities: DataFrame) -> DataFrame:
     return relations.join(ids.withColumnRenamed("id", "subject_id"), "subject_id", "left_semi").join(ids.withColumnRenamed("id", "object_id"), "object_id", "left_semi")
 
 
-@F.pandas_udf(StringType())
-def _node(ids: pd.Series, names: pd.Series, types: pd.Series, attributes: pd.Series) -> pd.Series:
-    out = []
-    for i, n, t, a in zip(ids, names, types, attributes, strict=True):
-        node = {"@id": f"kg:entity/{i}", "name": n, "type": SCHEMA_ORG.get(t.lower(), f"kg:{t}"), "kg:entityType": t}
-        out.append(json.dumps(node | {f"kg:{k}": v for k, v in json.loads(a or "{}").items()}))
-    return pd.Series(out, dtype=object)
+def _object(*members: Column) -> Column:
+    """A JSON object, ASCII-escaped."""
+    pair = lambda x: F.concat(json_string(x["key"], True), F.lit(": "), value_text(x, True))
+    return F.concat(F.lit("{"), F.array_join(F.transform(joined(*members), pair), ", "), F.lit("}"))
+
+
+def _prefixed(text: Column) -> Column:
+    return F.transform(_members(text), lambda x: F.struct(F.concat(F.lit("kg:"), x["key"]).alias("key"), x["text"].alias("text"), x["kind"].alias("kind")))
 
 
-@F.pandas_udf(StringType())
-def _edge(subjects: pd.Series, predicates: pd.Series, objects: pd.Series, confidence: pd.Series, attributes: pd.Series) -> pd.Series:
-    out = []
-    for s, p, o, c, a in zip(subjects, predicates, objects, confidence, attributes, strict=True):
-        edge = {"@type": "kg:Relation", "kg:subject": f"kg:entity/{s}", "kg:predicate": p, "kg:object": f"kg:entity/{o}"}
-        edge |= {} if pd.isna(c) else {"kg:confidence": float(c)}
-        out.append(json.dumps(edge | {f"kg:{k}": v for k, v in json.loads(a or "{}").items()}))
-    return pd.Series(out, dtype=object)
+def _iri(column: str) -> Column:
+    return F.concat(F.lit("kg:entity/"), F.col(column).cast("string"))
 
 
 def jsonld_nodes(entities: DataFrame) -> DataFrame:
     """(id, node): a JSON-LD object for each entity, ASCII-escaped."""
-    return entities.select("id", _node("id", "canonical_name", "entity_type", "attributes").alias("node"))
+    known = F.create_map(*(F.lit(x) for pair in SCHEMA_ORG.items() for x in pair))
+    kind = F.coalesce(F.element_at(known, F.lower("entity_type")), F.concat(F.lit("kg:"), "entity_type"))
+    own = F.array(member("@id", _iri("id")), member("name", F.col("canonical_name")), member("type", kind), member("kg:entityType", F.col("entity_type")))
+    return entities.select("id", _object(own, _prefixed(F.col("attributes"))).alias("node"))
 
 
 def jsonld_edges(relations: DataFrame, entities: DataFrame) -> DataFrame:
     """(id, edge): a JSON-LD object for each relation whose ends exist."""
-    return _with_ends(relations, entities).select("id", _edge("subject_id", "predicate", "object_id", "confidence", "attributes").alias("edge"))
+    own = F.array(member("@type", F.lit("kg:Relation")), member("kg:subject", _iri("subject_id")), member("kg:predicate", F.col("predicate")), member("kg:object", _iri("object_id")))
+    edge = _object(own, _confidence("kg:confidence"), _prefixed(F.col("attributes")))
+    return _with_ends(relations, entities).select("id", edge.alias("edge"))
 
 
 def jsonld(entities: DataFrame, relations: DataFrame) -> Iterator[str]:

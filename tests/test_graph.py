@@ -7,7 +7,7 @@ import xml.etree.ElementTree as ET
 import pytest
 
 from lattice import cli, server, service
-from lattice.operators import resolve, stats
+from lattice.operators import export, resolve, stats
 from lattice.operators.components import connected_components
 from lattice.operators.search import nearest, similar_links, similar_pairs
 from lattice.sources.models import HashEmbedder
@@ -106,6 +106,29 @@ def test_exports(seeded):
     assert sum(x.tag.endswith("}edge") for x in tree.iter()) == 4
 
 
+def test_exports_of_odd_attributes(spark, seeded):
+    """Repeated names, names of own members, nested values, quotes, non-ASCII text and malformed text."""
+    attributes = ['{"name": "own", "a b": [1, "x"], "q": "it\'s \\\\ \\"é\\"", "f": 1.0, "t": true, "n": null}', '{"a": 1, "a": 2}', '{"entityType": "z"}', '{"bad', "", None]
+    entities = spark.createDataFrame([(i, f"é{i}", "Person", a, "t", "t") for i, a in enumerate(attributes)], seeded.entities.schema)
+    relations = spark.createDataFrame([(7, 0, "x y", 1, None, 1, float("nan"), '{"confidence": "high", "w": 2}', "t"), (8, 1, "z", 0, None, 1, 0.5, None, "t")], seeded.relations.schema)
+    nodes = {r.id: json.loads(r.node) for r in export.jsonld_nodes(entities).collect()}
+    assert nodes[0] == {"@id": "kg:entity/0", "name": "é0", "type": "schema:Person", "kg:entityType": "Person", **{f"kg:{k}": v for k, v in json.loads(attributes[0]).items()}}
+    assert isinstance(nodes[0]["kg:f"], float)
+    assert nodes[1]["kg:a"] == 2
+    assert nodes[2]["kg:entityType"] == "z"
+    assert nodes[3]["kg:_unparsed"] == '{"bad'
+    assert set(nodes[5]) == {"@id", "name", "type", "kg:entityType"}
+    assert all(r.node.isascii() for r in export.jsonld_nodes(entities).collect())
+    edges = {r.id: json.loads(r.edge) for r in export.jsonld_edges(relations, entities).collect()}
+    assert edges[7] == {"@type": "kg:Relation", "kg:subject": "kg:entity/0", "kg:predicate": "x y", "kg:object": "kg:entity/1", "kg:confidence": "high", "kg:w": 2}
+    assert edges[8]["kg:confidence"] == 0.5
+    lines = {(r.kind, r.id): r.line for r in export.cypher_lines(entities, relations).collect()}
+    assert lines["entity", 0] == "CREATE (e0:Person {name: 'own', a_b: '[1,\"x\"]', q: 'it\\'s \\\\ \"é\"', f: 1.0, t: true, n: null});"
+    assert lines["entity", 1] == "CREATE (e1:Person {name: 'é1', a: 2});"
+    assert lines["relation", 7] == "CREATE (e0)-[:X_Y {confidence: 'high', w: 2}]->(e1);"
+    assert lines["relation", 8] == "CREATE (e1)-[:Z {confidence: 0.5}]->(e0);"
+
+
 def test_graphml_reserved_keys(spark, seeded):
     entities = spark.createDataFrame([(1, "A", "t", '{"label": "x", "entity_type": "y"}', "t", "t")], seeded.entities.schema)
     text = "".join(service.FORMATS["graphml"](entities, seeded.relations))
