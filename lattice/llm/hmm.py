@@ -29,13 +29,15 @@ from lattice.plans.materialize import materialize
 
 #: Latent states, words whose counts are broadcast, rounds.
 STATES, TOP, ROUNDS = 8, 200_000, 5
+#: Most bytes of a word whose count is broadcast.
+LONGEST_TOP = 64
 #: Words that are classes of their own, and classes of other words: least, distinct words a class, most.
-OWN, RARE = (4096, 32, 49_152), (1024, 128, 12_288)
+OWN, RARE = (4096, 128, 49_152), (1024, 512, 12_288)
 SUFFIX = 3
 #: The end of a document among the words; no word has a space.
 END = b" "
-#: Bytes of forward variables held at once.
-HELD = 1 << 25
+#: Bytes of forward variables held at once, distinct words counted at once.
+HELD, COUNTED = 1 << 25, 1 << 18
 SEED = 7
 
 
@@ -44,15 +46,21 @@ def rare_class(word: bytes, rare: int) -> int:
 
 
 class _Count:
-    """Words and their counts, one table per batch of texts."""
+    """Words and their counts, in tables of about ``COUNTED`` words."""
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[bytes] = Counter()
         for batch in sliced(batches):
-            counts: Counter[bytes] = Counter()
             for text in batch.column(0).to_pylist():
                 counts.update(text.lower().split())
             counts[END] += batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "c"])
+            if len(counts) >= COUNTED:
+                yield self.table(counts)
+                counts = Counter()
+        yield self.table(counts)
+
+    def table(self, counts: Counter[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "c"])
 
 
 def vocabulary(texts: DataFrame) -> DataFrame:
@@ -83,8 +91,9 @@ def frequent(vocab: DataFrame, top: int) -> list[tuple[bytes, int]]:
     """At most ``top`` words with their counts, most frequent first, ties by word.
 
     A histogram of counts, 32 steps an octave and so under 2,048 rows, gives the least count whose words are few enough; only those
-    leave the executors. Words of the step at the limit stay out together.
+    leave the executors. Words of the step at the limit stay out together, and so do words above ``LONGEST_TOP`` bytes.
     """
+    vocab = vocab.filter(F.length("word") <= LONGEST_TOP)
     step = F.floor(F.log2("c") * 32).cast("long")
     histogram = vocab.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()
     taken, least = 0, None
@@ -129,7 +138,7 @@ def lexicon(vocab: DataFrame, own: int | None = None, rare: int | None = None, t
     return Lexicon(rank, klass, np.log10(counts + 1.0), np.log10(sizes.sum(axis=1) + 1.0), prior / prior.sum(), own, rare, int(total), int(distinct))
 
 
-ENCODED = "row long, doc_id long, held_out boolean, n_tokens long, n_top long, base_log double, model_log double, codes binary, tail array<struct<word:binary,n:long>>"
+ENCODED = "row long, doc_id long, held_out boolean, n_tokens long, n_top long, base_log double, model_log double, codes binary, tail array<binary>, tail_n array<long>"
 
 
 class Encode:
@@ -154,7 +163,7 @@ class Encode:
         rare = klass >= lex.own
         model_log = float(logs[rare].sum() - lex.rare_log[klass[rare] - lex.own].sum())
         known = int((logs > 0).sum())
-        return row, doc, held_out, len(words), known, float(logs.sum()), model_log, klass.astype(np.uint16).tobytes(), [{"word": w, "n": n} for w, n in tail.items()]
+        return row, doc, held_out, len(words), known, float(logs.sum()), model_log, klass.astype(np.uint16).tobytes(), list(tail), list(tail.values())
 
 
 @dataclass
@@ -327,10 +336,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state
     known = sc.broadcast(lex)
     encoded = materialize(map_docs(docs, [F.monotonically_increasing_id(), doc, held_out, raw(text_col)], ENCODED, Encode(known)))
     model = sc.broadcast(train(encoded.filter(~F.col("held_out")).select("codes"), lex, states, rounds))
-    fields = [x.split()[0] for x in ENCODED.split(", ")][:-1]
-    kinds = ", ".join(ENCODED.split(", ")[:-2])
+    fields = [x.split()[0] for x in ENCODED.split(", ")][:-2]
+    kinds = ", ".join(ENCODED.split(", ")[:-3])
     scored = encoded.select(*fields).mapInArrow(_Forward(model), f"{kinds}, forward double")
-    tail = encoded.select("row", F.inline("tail")).join(vocab, "word")
+    tail = encoded.select("row", F.inline(F.arrays_zip(F.col("tail").alias("word"), F.col("tail_n").alias("n")))).join(vocab, "word")
     tail = tail.groupBy("row").agg(F.sum("n").alias("n_tail"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("tail_log"))
     joined = scored.join(tail, "row", "left").withColumn("tail_log", F.coalesce("tail_log", F.lit(0.0)))
     base = F.col("base_log") + F.col("tail_log") - F.col("n_tokens") * F.lit(float(np.log10(lex.total + lex.distinct + 1)))

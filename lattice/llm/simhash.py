@@ -246,8 +246,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     The row with the smallest id of its group stays; of rows of a group that repeat that id, the one with the least text.
     Rows of different groups under one id are decided apart. Rows with a null id can't be named by a decision and stay.
     """
-    from pyspark.sql import Window
-
     from lattice.llm.similar import similar_groups, text_key
 
     found = materialize(similar_groups(docs, id_col, text_col))
@@ -261,6 +259,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return out.select(*docs.columns)
     again = materialize(first.join(bounded_broadcast(again), ["doc_id", "root"], "left_semi").select(*named, F.col("root").alias("_lattice_root")).distinct())
     again = bounded_broadcast(again)
-    rank = F.row_number().over(Window.partitionBy(id_col, "_lattice_root").orderBy(text_col, F.xxhash64(*docs.columns)))
-    one = out.join(again, on).withColumn("_lattice_rank", rank).filter("_lattice_rank = 1").select(*docs.columns)
-    return out.join(again, on, "left_anti").select(*docs.columns).unionByName(one)
+    tagged = out.join(again, on).withColumn("_lattice_row", F.struct(F.col(text_col), F.xxhash64(*docs.columns)))
+    least = tagged.groupBy(id_col, "_lattice_root").agg(F.min("_lattice_row").alias("_lattice_least"))
+    one = tagged.join(bounded_broadcast(materialize(least)), [id_col, "_lattice_root"]).filter(F.col("_lattice_row").eqNullSafe(F.col("_lattice_least")))
+    return out.join(again, on, "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns).dropDuplicates())

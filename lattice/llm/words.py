@@ -58,7 +58,7 @@ def sliced(batches: Iterator[pa.RecordBatch], most: int = SLICE) -> Iterator[pa.
 
 def arrow_schema(ddl: str) -> pa.Schema:
     """The Arrow schema of a DDL string as this package writes them."""
-    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<binary>": pa.list_(pa.binary()), "array<long>": pa.list_(pa.int64())}
     fields = lambda spec: [(n, kinds[k]) for n, k in (x.split(":") for x in spec.split(","))]
     of = lambda kind: pa.list_(pa.struct(fields(kind[13:-2]))) if kind.startswith("array<struct<") else kinds[kind]
     return pa.schema([(name, of(kind)) for name, kind in (x.split() for x in ddl.split(", "))])
