@@ -89,6 +89,11 @@ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INT A
 
 
 ORACLE["chunk_paragraph"] = _greedy("replace(text, chr(10), chr(10) || chr(10))", "regexp_split_to_array(text, '\\n\\s*\\n')", 2)
+ORACLE["chunk_heading"] = _greedy(
+    "replace(text, chr(10), chr(10) || '## ')",
+    r"list_concat(CASE WHEN regexp_matches(text, '^#{1,6}\s') THEN [''] ELSE [] END, list_transform(string_split(text, chr(10) || '## '), lambda x, i: CASE WHEN i > 1 THEN '## ' ELSE '' END || x || CASE WHEN i < len(string_split(text, chr(10) || '## ')) THEN chr(10) ELSE '' END))",
+    0,
+)
 ORACLE["incremental_classify"] = """
 WITH scan AS (SELECT doc_id::VARCHAR AS path, sha256(text) AS h FROM documents), state AS (SELECT doc_id AS id, doc_id::VARCHAR AS path, CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE sha256(text) END AS k FROM documents WHERE doc_id % 3 <> 0)
 SELECT coalesce(scan.path, state.path) AS path, id, CASE WHEN h IS NULL THEN 'absent' WHEN id IS NULL THEN 'new' WHEN h = k THEN 'skipped' ELSE 'updated' END AS change FROM scan FULL JOIN state ON scan.path = state.path
@@ -205,3 +210,12 @@ _sql(
     """SELECT id, 0 AS place, 'label' AS key, canonical_name AS value FROM e UNION ALL SELECT id, 1, 'entity_type', entity_type FROM e
 UNION ALL SELECT id, (1 + i)::INT, json_keys(attributes)[i], json_extract_string(attributes, '$.' || json_keys(attributes)[i]) FROM (SELECT *, unnest(range(1, len(json_keys(attributes)) + 1)) AS i FROM e)""",
 )
+ORACLE["code_fences"] = r"SELECT doc_id, md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS text_md5 FROM documents"
+_sql("drop_chunks_mentions", "SELECT id, entity_id, chunk_id FROM m WHERE chunk_id % 7 <> 0")
+_sql("drop_chunks_relations", "SELECT id, subject_id, predicate, object_id, CASE WHEN evidence_chunk_id % 7 <> 0 THEN evidence_chunk_id END AS evidence_chunk_id FROM r")
+_sql(
+    "relation_insert",
+    """SELECT subject_id * 1000000 + object_id % 1000000 AS id, subject_id, predicate, object_id, evidence_chunk_id FROM r WHERE predicate = 'supplies' AND subject_id % 3 = 0
+UNION ALL SELECT 1000000000000000000 + row_number() OVER (ORDER BY id) - 1, subject_id, predicate, object_id, evidence_chunk_id FROM r WHERE predicate = 'supplies' AND subject_id % 3 <> 0""",
+)
+ORACLE["latest_run"] = "SELECT o_orderkey::BIGINT AS id, o_orderstatus AS status FROM orders ORDER BY o_orderkey DESC LIMIT 1"

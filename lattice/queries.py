@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattice.functions.text import content_hash
+from lattice.functions.text import content_hash, strip_code_fence
 from lattice.operators import export, listing, search, stats, upsert
 from lattice.operators import graph as traversal
 from lattice.operators.chunking import chunk
 from lattice.operators.components import connected_components
 from lattice.operators.resolve import apply_merges, cluster_ladder
 from lattice.plans import star
+from lattice.plans.build import drop_chunks
 from lattice.schemas import Graph
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -315,3 +316,42 @@ def stale_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def export_graphml_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.graphml_data(star.entities(spark, sf_dir))
+
+
+@query
+def code_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' texts out of the fences of a model's answer: with a language, without one, without an end, without a fence."""
+    text, kind = F.trim("text"), F.col("doc_id") % 4
+    fenced = F.when(kind == 0, F.concat(F.lit(" ```json\n"), text, F.lit("\n```\n"))).when(kind == 1, F.concat(F.lit("```\n"), text, F.lit("\n```"))).when(kind == 2, F.concat(F.lit("```yaml "), text)).otherwise(text)
+    return star.table(spark, sf_dir, "documents").select("doc_id", F.md5(strip_code_fence(fenced)).alias("text_md5"))
+
+
+def _without_chunks(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph after every seventh chunk is gone."""
+    graph = _graph(spark, sf_dir)
+    return drop_chunks(graph, graph.chunks.filter("id % 7 = 0").select("id"))
+
+
+@query
+def drop_chunks_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _without_chunks(spark, sf_dir).mentions.select("id", "entity_id", "chunk_id")
+
+
+@query
+def drop_chunks_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _without_chunks(spark, sf_dir).relations.select("id", "subject_id", "predicate", "object_id", "evidence_chunk_id")
+
+
+@query
+def relation_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations known up to a supplier, inserted again with all others; the new ones get ids after the known."""
+    supplies = star.relations(spark, sf_dir).filter("predicate = 'supplies'")
+    known = supplies.filter("subject_id % 3 = 0").withColumn("id", F.col("subject_id") * 1000000 + F.col("object_id") % 1000000)
+    return upsert.insert_relations(known, supplies.withColumnRenamed("id", "seq"), 10**18).select("id", "subject_id", "predicate", "object_id", "evidence_chunk_id")
+
+
+@query
+def latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest row of a run table, were each order a run."""
+    runs = star.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("id"), F.col("o_orderstatus").alias("status"))
+    return listing.latest(runs)
