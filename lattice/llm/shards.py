@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattice.plans.materialize import bounded_broadcast, materialize
+from lattice.plans.materialize import bounded_broadcast, discard, materialize
 
 #: Rows that one task numbers.
 SLOT_ROWS = 50_000
@@ -51,6 +51,7 @@ def shard(docs: DataFrame, weights: Sequence[float] = (1.0,) * 24, grown_weight:
     order = ["shard", "doc_id", "text_crc32", "size", "_at"]
     dealt = placed.withColumn("_at", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     ranged = materialize(dealt.drop("_at").withColumns({"_range": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}))
+    discard(placed)
     counts = ranged.groupBy("shard", "_range").agg(F.count("*").alias("_n"), F.min("_place").alias("_start"))
     before = F.sum("_n").over(Window.partitionBy("shard").orderBy("_range")) - F.col("_n")
     first = bounded_broadcast(materialize(counts.select("shard", "_range", (before - F.col("_start")).alias("_first"))))

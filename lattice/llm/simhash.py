@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lattice.llm.words import map_docs, raw
 from lattice.operators.components import connected_components
-from lattice.plans.materialize import bounded_broadcast, heavy_keys, lookup_join, materialize
+from lattice.plans.materialize import bounded_broadcast, discard, heavy_keys, lookup_join, materialize
 
 RADIUS = 3
 #: Most fingerprints in one tree; some 20 MB of Python objects.
@@ -229,7 +229,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = materialize(fingerprints(docs, id_col, text_col))
     least = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
-    component = materialize(connected_components(materialize(links(least.select("fp"), radius, tree_rows))))
+    edges = materialize(links(least.select("fp"), radius, tree_rows))
+    component = materialize(connected_components(edges))
+    discard(edges)
     member = component.withColumnRenamed("node", "fp").join(least.select("fp", "least"), "fp")
     named = member.groupBy("component").agg(F.min("least").alias("component_id"))
     linked = component.join(named, "component").select(F.col("node").alias("fp"), "component_id")

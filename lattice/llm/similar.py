@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from lattice.llm.simhash import BKTree, Forest, bit_counts, deal, dealt_groups
 from lattice.llm.words import map_docs, raw
 from lattice.operators.components import connected_components
-from lattice.plans.materialize import bounded_broadcast, heavy_keys, lookup_join, materialize
+from lattice.plans.materialize import bounded_broadcast, discard, heavy_keys, lookup_join, materialize
 
 #: Words in a shingle, least similarity as a fraction, bands and minima per band.
 SHINGLE, SIMILAR, BANDS, ROWS = 5, (4, 5), 40, 6
@@ -163,7 +163,8 @@ def components(signed: DataFrame, texts: DataFrame, held: int = SETS) -> DataFra
     rows = signed.select("key", F.explode("bands").alias("shard"))
     shards = materialize(rows.groupBy("shard").agg(F.min("key").alias("hub"), F.max("key").alias("top")).filter("hub < top").select("shard", "hub"))
     shared = materialize(rows.join(bounded_broadcast(shards), "shard").distinct())
-    ends = bounded_broadcast(materialize(shared.select("key").distinct()))
+    named = materialize(shared.select("key").distinct())
+    ends = bounded_broadcast(named)
     some = texts.join(ends, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     sets = materialize(map_docs(some, [F.col("key"), F.col("text")], "key long, shingles array<long>", lambda k, t: (k, shingles(t))))
     prints = materialize(signed.join(ends, "key", "left_semi").groupBy("key").agg(F.first("n").alias("n"), F.first("fp").alias("fp")))
@@ -175,11 +176,16 @@ def components(signed: DataFrame, texts: DataFrame, held: int = SETS) -> DataFra
     near = similar(star, sets)
     group = materialize(connected_components(near))
     placed = shared.join(bounded_broadcast(group.withColumnRenamed("node", "key")), "key", "left").select("shard", "key", F.coalesce("component", "key").alias("grp"))
-    mixed = placed.groupBy("shard").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).filter("a < b").select("shard")
-    placed = placed.join(bounded_broadcast(materialize(mixed)), "shard", "left_semi").join(prints, "key")
+    mixed = materialize(placed.groupBy("shard").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).filter("a < b").select("shard"))
+    placed = placed.join(bounded_broadcast(mixed), "shard", "left_semi").join(prints, "key")
     whole = deal(placed.select("shard", "key", "grp", (F.col("n") + ROW).alias("size"), "fp"), "key", held, "size", sets)
     more = materialize(whole.mapInArrow(_Trees(), "u long, v long").distinct())
-    return group if more.isEmpty() else materialize(connected_components(near.unionByName(more)))
+    if not more.isEmpty():
+        first, group = group, materialize(connected_components(near.unionByName(more)))
+        discard(first)
+    for table in (shards, shared, named, sets, prints, star, near, mixed, more):
+        discard(table)
+    return group
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: int = SETS) -> DataFrame:
