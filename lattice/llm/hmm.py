@@ -37,7 +37,9 @@ SUFFIX = 3
 #: The end of a document among the words; no word has a space.
 END = b" "
 #: Bytes of forward variables held at once, distinct words counted at once.
-HELD, COUNTED = 1 << 25, 1 << 18
+HELD, COUNTED = 1 << 26, 1 << 18
+#: Bytes of class sequences that are grouped by length at once; two bytes a token.
+GROUPED = 1 << 24
 SEED = 7
 
 
@@ -225,7 +227,8 @@ def expected_counts(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarr
     def step(before: np.ndarray | None, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         alpha = (model.start[:, None] if before is None else back @ before[:, : seen.shape[1]]) * seen
         scale = alpha.sum(axis=0)
-        return alpha / scale, scale
+        alpha /= scale
+        return alpha, scale
 
     for codes, active, _ in _groups(sequences, states):
         steps, n0 = codes.shape
@@ -241,13 +244,12 @@ def expected_counts(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarr
         for first, end in reversed(list(pairwise(edges))):
             alpha = before = entry.pop()
             at = np.concatenate([[0], np.cumsum(active[first:end])]).tolist()
-            alphas, ratios = np.empty((states, at[-1])), np.empty((states, at[-1]))  # steps side by side, active ones only
-            for t in range(first, end):
-                own = slice(at[t - first], at[t - first + 1])
-                seen = emit.take(codes[t, : active[t]], axis=1)
-                alpha, scale = step(alpha, seen)
-                alphas[:, own] = alpha
-                np.divide(seen, scale, out=ratios[:, own])
+            flat = np.concatenate([codes[t, : active[t]] for t in range(first, end)])
+            alphas, ratios = np.empty((states, at[-1])), emit.take(flat, axis=1)  # steps side by side, active ones only
+            for a, b in pairwise(at):
+                alpha, scale = step(alpha, ratios[:, a:b])
+                alphas[:, a:b] = alpha
+                ratios[:, a:b] /= scale
             for t in range(end - 1, first - 1, -1):
                 n, own = active[t], slice(at[t - first], at[t - first + 1])
                 ahead = ratios[:, own] * beta[:, :n]
@@ -258,7 +260,6 @@ def expected_counts(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarr
                 last = before if t == first else alphas[:, at[t - first - 1] : at[t - first]]
                 move += last[:, :n] @ ahead.T
                 beta[:, :n] = model.move @ ahead
-            flat = np.concatenate([codes[t, : active[t]] for t in range(first, end)])
             for s in range(states):
                 counts[s] += np.bincount(flat, weights=alphas[s], minlength=classes)
     return start, move * model.move, counts.T.copy()
@@ -276,7 +277,7 @@ class _Expect:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, total = self.model.value, None
-        for batch in sliced(batches):
+        for batch in sliced(batches, GROUPED):
             found = expected_counts(model, _sequences(batch, 0))
             total = found if total is None else tuple(a + b for a, b in zip(total, found, strict=True))
         if total is not None:
@@ -315,7 +316,7 @@ class _Forward:
         self.model = model
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, GROUPED):
             logs = log_likelihoods(self.model.value, _sequences(batch, batch.num_columns - 1)) / np.log(10)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(logs)], [*batch.schema.names[:-1], "forward"])
 
