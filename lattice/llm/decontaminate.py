@@ -116,7 +116,7 @@ class Matcher:
         said = words(text)
         joined = f" {b' '.join(said).decode('latin-1')} "
         tried: set[tuple[int, int, int]] = set()
-        best: dict[int | None, tuple[int, int, int]] = {}
+        best: dict[tuple[int | None, int], tuple[int, int, int]] = {}
         counted, at_word = 0, 0
         for last, (back, size, places) in self.found.iter(joined):
             first = last - back
@@ -140,18 +140,19 @@ class Matcher:
                     if distance <= errors:
                         _, length = myers(backward, m, part[:end][::-1])
                         span = (distance, low + end - length, low + end)
-                        if item_id not in best or span < best[item_id]:
-                            best[item_id] = span
-        return [{"item_id": k, "distance": d, "start": a, "end": b} for k, (d, a, b) in sorted(best.items(), key=lambda x: (x[0] is not None, x[0]))]
+                        of = (item_id, -1 if item_id is not None else number)  # items without an id are items of their own
+                        if of not in best or span < best[of]:
+                            best[of] = span
+        return [{"item_id": k, "distance": d, "start": a, "end": b} for (k, _), (d, a, b) in sorted(best.items(), key=lambda x: (x[0][0] is not None, x[0][0] or 0, x[0][1]))]
 
 
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int | None, bytes]]]:
-    """The distinct test items in blocks of about ``block_bytes``, one block on the driver at a time."""
+    """The distinct test items in blocks of about ``block_bytes``, one block on the driver at a time; texts of one id are in one block."""
     items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), raw(text_col).alias("text")).filter(F.length("text") > 0).distinct()
     total = items.agg(F.sum(F.length("text") + 16)).first()[0] or 0
     count = -(-total // block_bytes)
     for k in range(count):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k) if count > 1 else items
+        part = items.filter(F.pmod(F.xxhash64(F.coalesce("item_id", F.xxhash64("text"))), F.lit(count)) == k) if count > 1 else items
         if found := [(r["item_id"], bytes(r["text"])) for r in part.collect()]:
             yield sorted(found, key=lambda x: (x[0] is not None, x))
 
@@ -160,8 +161,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(doc_id, item_id, distance, start_word, end_word): a row for each row of ``docs`` and test item it holds a window of.
 
     distance is the least number of word edits, start_word to end_word (exclusive) the first words that have it. Null, empty and
-    wordless texts or items match nothing; very long texts are searched whole. Repeated items are one; repeated documents are rows of
-    their own; ids may be null. Other columns are ignored; an empty table on either side gives no rows.
+    wordless texts or items match nothing; very long texts are searched whole. Repeated items are one, and so are texts under one id; those
+    without an id are items of their own. Repeated documents are rows of their own; ids may be null. Other columns are ignored; an empty table on either side gives no rows.
 
     Several blocks are searched one after the other; each block's rows are written, and its items released, before the next one is read.
     """

@@ -503,3 +503,15 @@ def test_pipeline_on_odd_rows(spark, docs, rows, clashing, empty, tmp_path):
     assert sorted(map(repr, map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()))) == sorted(map(repr, expected))
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_rows_dropped_by_id(spark, monkeypatch, most):
+    from lattice.llm.words import drop_ids
+    from lattice.plans import materialize
+
+    monkeypatch.setattr(materialize, "BROADCAST_ROWS", most)
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (None, "d")], "doc_id long, text string")
+    for gone in ([(1,), (1,), (None,), (9,)], []):
+        left = drop_ids(docs, spark.createDataFrame(gone, "doc_id long"))
+        assert sorted(map(repr, map(tuple, left.collect()))) == sorted(repr(tuple(r)) for r in docs.collect() if r.doc_id is None or (r.doc_id,) not in gone)

@@ -23,7 +23,8 @@ def test_contamination(spark, clashing, empty):
     rng = random.Random(8)
     vocab = [f"w{i}" for i in range(300)]
     said = lambda n: [rng.choice(vocab) for _ in range(n)]
-    items = [(i, " ".join(said(n)).capitalize() + ".") for i, n in enumerate((3, 8, 16, 30, 60))] + [(7, None), (8, ""), (None, " ".join(said(20)))]
+    items = [(i, " ".join(said(n)).capitalize() + ".") for i, n in enumerate((3, 8, 16, 30, 60))] + [(7, None), (8, ""), (None, " ".join(said(20))), (3, " ".join(said(12)))]
+    items += [(None, items[4][1] + " more")]
     items += [items[2], items[2]]
     texts = []
     for i in range(40):
@@ -40,13 +41,14 @@ def test_contamination(spark, clashing, empty):
     expected = []
     for d, t in texts:
         best = {}
-        for i, x in dict.fromkeys(items):
+        for k, (i, x) in enumerate(dict.fromkeys(items)):
             w = decontaminate.words((x or "").encode())
             for part in [w[k : k + 25] for k in range(max(1, len(w) - 24))] if w else []:
                 n = edit_table(part, decontaminate.words((t or "").encode()))[0]
                 if n <= int(len(part) * decontaminate.ERROR_RATE):
-                    best[i] = min(best.get(i, 99), n)
-        expected += [(d, i, n) for i, n in best.items()]
+                    of = (i, k if i is None else -1)
+                    best[of] = min(best.get(of, 99), n)
+        expected += [(d, i, n) for (i, _), n in best.items()]
     for limit in (decontaminate.BLOCK_BYTES, 150):
         found = [(r.doc_id, r.item_id, r.distance) for r in decontaminate.contamination(docs, bench, block_bytes=limit).collect()]
         assert sorted(map(repr, found)) == sorted(map(repr, expected))
