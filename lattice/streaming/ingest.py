@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lattice.functions.text import content_hash, normalize_newlines
 from lattice.plans.build import ingest_scan
+from lattice.sources.markdown import as_text, qualified, with_hash
 from lattice.sources.store import Store
 
 
@@ -16,15 +16,13 @@ def stream_ingest(store: Store, corpus: str, config: dict, checkpoint: str, once
 
     A batch that is replayed after a failure finds its documents unchanged and does nothing. ``once`` stops when all files are read.
     """
-    base = corpus.rstrip("/")
-    files = store.spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).load(base)
-    full = F.regexp_replace(F.url_decode("_metadata.file_path"), r"^\w+:/+", "/")
-    rows = files.select(F.substring(full, len(base) + 2, 1 << 20).alias("path"), normalize_newlines(F.col("value")).alias("content"), F.col("_metadata.file_modification_time").cast("double").alias("mtime"))
-    rows = rows.filter(~F.col("path").rlike(r"(^|/)\."))
+    _, base = qualified(store.spark, corpus)
+    source = store.spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
+    rows = as_text(source.option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).load(base.toString()), base.toString())
 
     def commit(batch: DataFrame, _: int) -> None:
         last = batch.groupBy("path").agg(F.max_by(F.struct("content", "mtime"), "mtime").alias("r")).select("path", "r.content", "r.mtime")
-        ingest_scan(store, last.select("path", "content", content_hash(F.col("content")).alias("content_hash"), F.octet_length("content").cast("long").alias("size_bytes"), "mtime"), config)
+        ingest_scan(store, with_hash(last), config)
 
     out = rows.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if once else out).start()
