@@ -61,19 +61,23 @@ def ingest_scan(store: Store, scan: DataFrame, config: dict, prune: bool = False
     touched = known.filter("change = 'updated'").select("path", "id").unionByName(fresh)
     rows = materialize(scan.join(touched, "path"))
     documents = rows.select("id", "path", "content_hash", "size_bytes", "mtime", F.lit(when).alias("ingested_at"), F.lit(None).cast("string").alias("last_extracted_hash"))
-    kept = graph.documents.join(known.filter(F.col("change").isin("skipped", *["absent"] * (not prune))).select("path"), "path", "left_semi")
-    graph = drop_chunks(graph, materialize(graph.chunks.join(dropped, "document_id", "left_semi").select("id")))
     how = config.get("chunking", {})
     made = chunk(rows.select(F.col("id").alias("document_id"), "content"), "content", how.get("max_chars", 4000), how.get("overlap_chars", 200), how.get("split_on", "paragraph"))
     made = materialize(dense_ids(made, ["document_id", "chunk_index"], store.next_id("chunks")))
     out["chunks_created"] = made.count()
+    new = {"documents": documents, "chunks": made}
+    if dropped.isEmpty():  # nothing but new documents: only their rows are written
+        store.commit(append=new)
+        return out
+    kept = graph.documents.join(known.filter(F.col("change").isin("skipped", *["absent"] * (not prune))).select("path"), "path", "left_semi")
+    left = drop_chunks(graph, materialize(graph.chunks.join(dropped, "document_id", "left_semi").select("id")))
+    whole = {"documents": kept, "chunks": left.chunks}
     store.commit(
-        documents=kept.select(*documents.columns).unionByName(documents),
-        chunks=graph.chunks.unionByName(made.select(*graph.chunks.columns)),
-        chunk_vectors=graph.chunk_vectors,
-        mentions=graph.mentions,
-        mention_vectors=graph.mention_vectors,
-        relations=graph.relations,
+        **{t: df.select(*new[t].columns).unionByName(new[t]) for t, df in whole.items()},
+        chunk_vectors=left.chunk_vectors,
+        mentions=left.mentions,
+        mention_vectors=left.mention_vectors,
+        relations=left.relations,
     )
     return out
 
@@ -104,7 +108,7 @@ def embed(store: Store, embedder: Embedder, table: str) -> int:
     new = materialize(todo.mapInArrow(_Embed(embedder), "key long, embedding array<float>").withColumnRenamed("key", key))
     n = new.count()
     if n:
-        store.commit(**{vectors: held.unionByName(new)})
+        store.commit(append={vectors: new})
     return n
 
 
@@ -170,14 +174,13 @@ def extract(store: Store, model, force: bool = False, at: str | None = None, con
     documents = graph.documents.join(mark, "id", "left").withColumn("last_extracted_hash", F.when(F.col("_ok"), F.col("content_hash")).otherwise(F.col("last_extracted_hash"))).select(*graph.documents.columns)
     status = store.spark.createDataFrame([(run, when, now(), getattr(model, "model", type(model).__name__), "completed", n_docs, None)], TABLES["extraction_runs"])
     attempts = relations.count()
-    store.commit(
-        entities=all_entities,
-        mentions=kept_mentions.unionByName(mentions.select(*kept_mentions.columns)),
-        mention_vectors=graph.mention_vectors.join(old, "mention_id", "left_anti"),
-        relations=all_relations,
-        documents=documents,
-        extraction_runs=graph.extraction_runs.unionByName(status),
-    )
+    runs, mine = {"extraction_runs": status}, mentions.select(*graph.mentions.columns)
+    if force or not old.isEmpty():
+        vectors = graph.mention_vectors.join(old, "mention_id", "left_anti")
+        store.commit(append=runs, entities=all_entities, documents=documents, mentions=kept_mentions.unionByName(mine), mention_vectors=vectors, relations=all_relations)
+    else:  # chunks that were never extracted: mentions and relations are only added
+        added = all_relations.filter(F.col("id") >= store.next_id("relations"))
+        store.commit(append=runs | {"mentions": mine, "relations": added}, entities=all_entities, documents=documents)
     return {
         "documents_processed": n_docs,
         "entities_created": mentions.count(),
@@ -196,7 +199,7 @@ def resolve(store: Store, config: dict, model=None) -> dict[str, int]:
     kv = store.pointer()["kv"]
     run = store.spark.createDataFrame([(store.next_id("resolution_runs"), when, now(), kv.get("embedding_model", ""), getattr(model, "model", "") or "", float(threshold), merges, "completed")], TABLES["resolution_runs"])
     changed = {"entities": out.entities, "mentions": out.mentions, "relations": out.relations} if merges else {}
-    store.commit(resolution_runs=graph.resolution_runs.unionByName(run), **changed)
+    store.commit(append={"resolution_runs": run}, **changed)
     return {"merges": merges}
 
 
@@ -245,7 +248,7 @@ def induce(store: Store, config: dict, model) -> dict[str, int]:
         schema = again if isinstance(again, dict) else schema
     counts = {"entity_type_count": len(schema.get("entity_types") or {}), "relation_type_count": len(schema.get("relation_types") or {})}
     row = (store.next_id("schema_versions"), when, getattr(model, "model", ""), yaml.safe_dump(schema, sort_keys=False), *counts.values(), None)
-    store.commit(schema_versions=graph.schema_versions.unionByName(store.spark.createDataFrame([row], TABLES["schema_versions"])))
+    store.commit(append={"schema_versions": store.spark.createDataFrame([row], TABLES["schema_versions"])})
     return counts
 
 

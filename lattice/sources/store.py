@@ -1,7 +1,7 @@
 """A versioned store of the graph's tables.
 
-Each commit writes the changed tables to new folders and then replaces one small pointer file by a rename. Readers keep the
-version they opened. The pointer also holds the next free id of each table, so ids are never used again.
+Each commit writes the changed tables, or only the rows added to them, to new folders and then replaces one small pointer file by
+a rename. Readers keep the version they opened. The pointer also holds the next free id of each table, so ids are never used again.
 """
 
 from __future__ import annotations
@@ -20,6 +20,16 @@ from pyspark.sql import functions as F
 from lattice.schemas import TABLES, Graph
 
 
+#: Most folders of one table.
+FOLDERS = 64
+
+
+def _folders(pointer: dict, table: str) -> list[str]:
+    """Where a table's rows are."""
+    found = pointer["tables"].get(table, [])
+    return [found] if isinstance(found, str) else found
+
+
 class Store:
     """The store at a path of any file system that Spark writes to."""
 
@@ -65,21 +75,27 @@ class Store:
 
     def read(self) -> Graph:
         pointer = self.pointer()
-        made = {t: self.spark.read.schema(ddl).parquet(pointer["tables"][t]) if t in pointer["tables"] else self.spark.createDataFrame([], ddl) for t, ddl in TABLES.items() if t != "kv"}
+        made = {t: self.spark.read.schema(ddl).parquet(*_folders(pointer, t)) if t in pointer["tables"] else self.spark.createDataFrame([], ddl) for t, ddl in TABLES.items() if t != "kv"}
         return Graph(kv=self.spark.createDataFrame(sorted(pointer["kv"].items()), TABLES["kv"]), **made)
 
     def next_id(self, table: str) -> int:
         return self.pointer()["next"].get(table, 1)
 
-    def commit(self, kv: dict | None = None, **tables: DataFrame) -> None:
-        """Write the given tables and point to them."""
+    def commit(self, kv: dict | None = None, append: dict[str, DataFrame] | None = None, **tables: DataFrame) -> None:
+        """Write the given tables, and the rows of ``append`` beside those that are there, and point to them.
+
+        A table of ``FOLDERS`` folders is written as a whole again when rows are added.
+        """
         pointer = self.pointer()
         version = pointer["version"] + 1
-        for name, df in tables.items():
+        for name, df, kept in [*((n, df, []) for n, df in tables.items()), *((n, df, _folders(pointer, n)) for n, df in (append or {}).items())]:
             where = f"{self.path}/tables/{name}/v={version}-{uuid.uuid4().hex[:8]}"
             columns = self.spark.createDataFrame([], TABLES[name]).schema
-            df.select(*(F.col(c.name).cast(c.dataType) for c in columns)).write.parquet(where)
-            pointer["tables"][name] = where
+            rows = df.select(*(F.col(c.name).cast(c.dataType) for c in columns))
+            if len(kept) >= FOLDERS:
+                rows, kept = self.spark.read.schema(columns).parquet(*kept).unionByName(rows), []
+            rows.write.parquet(where)
+            pointer["tables"][name] = [*kept, where]
             if "id" in columns.names:
                 most = self.spark.read.parquet(where).agg(F.max("id")).first()[0]
                 pointer["next"][name] = max(pointer["next"].get(name, 1), (most or 0) + 1)
@@ -90,7 +106,8 @@ class Store:
     def vacuum(self) -> int:
         """Delete the written tables that the present version doesn't point to, and return how many; older versions can't be read after it."""
         fs, top = self._fs(f"{self.path}/tables")
-        kept = {self._fs(p)[1].getName() for p in self.pointer()["tables"].values()}
+        pointer = self.pointer()
+        kept = {self._fs(p)[1].getName() for t in pointer["tables"] for p in _folders(pointer, t)}
         old = [v.getPath() for t in (fs.listStatus(top) if fs.exists(top) else []) for v in fs.listStatus(t.getPath()) if v.getPath().getName() not in kept]
         for path in old:
             fs.delete(path, True)

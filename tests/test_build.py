@@ -87,6 +87,30 @@ def test_build_and_rebuild(spark, corpus, tmp_path):
     assert store.next_id("chunks") == 4
 
 
+def test_new_documents_only_add_rows(spark, corpus, tmp_path, monkeypatch):
+    """A commit of new documents leaves the folders of all tables; a table of many folders is written whole again."""
+    store = Store(spark, str(tmp_path / "graph"))
+    store.init()
+    config, embedder = merged(DEFAULTS, None), HashEmbedder(8)
+    build.build(store, corpus, config, embedder, PatternModel())
+    before, rows = store.pointer()["tables"], {t: set(map(tuple, df.collect())) for t, df in store.read().tables().items() if t in ("chunks", "mentions", "relations")}
+    (corpus / "later.md").write_text("Cleo Marsh works at Orbit Corp.")
+    build.build(store, corpus, config, embedder, PatternModel())
+    after, now = store.pointer()["tables"], store.read().tables()
+    for t in ("documents", "chunks", "chunk_vectors", "mentions", "relations"):
+        if t != "documents":
+            assert after[t][: len(before[t])] == before[t], t
+        assert len(after[t]) == len(before[t]) + (t != "documents"), t
+    assert all(old <= set(map(tuple, now[t].collect())) for t, old in rows.items())
+    assert "Cleo Marsh" in {r.canonical_name for r in now["entities"].collect()}
+    monkeypatch.setattr("lattice.sources.store.FOLDERS", 2)
+    whole = now["chunks"].count()
+    (corpus / "last.md").write_text("Nothing.")
+    build.ingest(store, str(corpus), config)
+    assert len(store.pointer()["tables"]["chunks"]) == 1
+    assert store.read().chunks.count() == whole + 1
+
+
 class Flaky:
     """Fails on one text; names one entity in the others."""
 
