@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattice.llm.words import raw
+from lattice.llm.words import raw, sliced
 
 #: Bytes of text in one index block.
 BLOCK = 1 << 22
@@ -181,15 +181,8 @@ class Scanner:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
-            texts, spans, size, block = batch.column(1).to_pylist(), [], 0, []
-            for t in texts:
-                block.append(t)
-                size += len(t)
-                if size > BLOCK:
-                    spans += self.spans(block)
-                    size, block = 0, []
-            spans += self.spans(block) if block else []
+        for batch in sliced(batches, BLOCK):  # each slice is a block of the index
+            spans = self.spans(batch.column(1).to_pylist()) if batch.num_rows else []
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
 
 
