@@ -17,7 +17,7 @@ MARGINS = ("source", "lang", "topic")
 #: Most of all tokens to keep; exponents that temper the margins' shares; most that tempering may raise a share by.
 KEEP, TEMPER, LIFT = 0.6, {"source": 0.5, "lang": 0.7, "topic": 0.7}, 1.25
 #: Rounds of raking after which the plan is cut and the margins are compared, most rounds, largest residual of a raked margin.
-CUT, ROUNDS, TOLERANCE = 8, 48, 1e-9
+CUT, ROUNDS, TOLERANCE = 8, 48, 1e-12
 #: Most cells that are raked in one task; more are raked by aggregations and joins.
 CELLS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"

@@ -129,4 +129,4 @@ WHERE CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null'
 """
 
 
-ORACLE: dict[str, str] = {"op5_quality_rules": _QUALITY, "op6_rendezvous_sharding": _SHARDS, "op10_secret_scans": _SECRETS, "op7_line_dedup": _LINES, "op8_source_mixing": _mixing(0.6, {"source": 0.5, "lang": 0.7, "topic": 0.7}, 1.25, 16), "op9_url_filters": _URLS}
+ORACLE: dict[str, str] = {"op5_quality_rules": _QUALITY, "op6_rendezvous_sharding": _SHARDS, "op10_secret_scans": _SECRETS, "op7_line_dedup": _LINES, "op8_source_mixing": _mixing(0.6, {"source": 0.5, "lang": 0.7, "topic": 0.7}, 1.25, 48), "op9_url_filters": _URLS}
