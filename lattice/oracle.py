@@ -199,7 +199,7 @@ _sql(
 _sql(
     "search_chunks",
     """SELECT o_orderkey::BIGINT AS chunk_id, 'order ' || o_orderkey || ' ' || o_orderstatus || ' ' || o_orderpriority AS chunk_text, 'customers/' || c_name || '.md' AS document_path, round(distance, 6) AS distance,
-  coalesce((SELECT string_agg(canonical_name || ':part', ',' ORDER BY canonical_name) FROM (SELECT DISTINCT canonical_name, entity_id FROM m JOIN e ON entity_id = e.id WHERE chunk_id = o_orderkey)), '') AS entities
+  coalesce((SELECT string_agg(canonical_name || ':part', ',' ORDER BY canonical_name) FROM (SELECT DISTINCT canonical_name FROM m JOIN e ON entity_id = e.id WHERE chunk_id = o_orderkey)), '') AS entities
 FROM hits JOIN orders ON vec_id = o_orderkey JOIN customer ON o_custkey = c_custkey""",
     """q AS (SELECT arg_min(embedding::DOUBLE[], vec_id) AS x FROM embeddings), hits AS (SELECT vec_id, list_distance(embedding::DOUBLE[], x) AS distance FROM embeddings, q
   WHERE vec_id IN (SELECT o_orderkey FROM orders) ORDER BY distance, vec_id LIMIT 10)""",
