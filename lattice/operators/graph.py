@@ -1,7 +1,7 @@
 """Traversals: neighbourhoods and shortest paths over the name-keyed, undirected view of a graph.
 
-A hop works on ids: the frontier, broadcast when counted to be small, meets the ends of the relations, and only what it reaches is
-looked up among the entities. The ends are written once as (node, next) where several hops read them.
+A hop works on ids: the frontier meets the ends of the relations, and only what it reaches is looked up among the entities. Frontiers are
+written, so the planner knows their size and broadcasts them while they are small. Relations that are computed are written once.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattice.operators.listing import named_relations
-from lattice.plans.materialize import bounded_broadcast, discard, materialize
+from lattice.plans.materialize import discard, materialize, settled
 
 
 def graph_view(entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -40,27 +40,25 @@ def neighbors(entities: DataFrame, relations: DataFrame, name: str, depth: int =
     A type filter keeps other nodes out and stops the search there; the start is exempt. An unknown name gives empty tables.
     Visited nodes are never expanded twice.
     """
-    nodes, steps = _nodes(entities), _steps(relations)
+    nodes = _nodes(entities)
     if depth > 1:
-        steps = materialize(steps)
+        relations = settled(relations.select("id", "subject_id", "predicate", "object_id", "confidence"))
+    steps = _steps(relations)
     visited = frontier = materialize(nodes.filter(F.col("node") == name))
     for _ in range(max(0, depth)):
-        at = frontier.select(F.col("id").alias("at")).distinct()
-        reached = materialize(steps.join(bounded_broadcast(at), "at", "left_semi").select(F.col("next").alias("id")).distinct())
-        met = nodes.join(bounded_broadcast(reached), "id", "left_semi").select("node").distinct()
+        reached = materialize(steps.join(frontier.select(F.col("id").alias("at")), "at", "left_semi").select(F.col("next").alias("id")).distinct())
+        met = nodes.join(reached, "id", "left_semi").select("node").distinct()
         if entity_type:
             types = entities.groupBy(F.col("canonical_name").alias("node")).agg(F.max_by("entity_type", "id").alias("type"))
             met = met.join(types.filter(F.col("type") == entity_type).select("node"), "node", "left_semi")
-        met = materialize(met.join(bounded_broadcast(visited.select("node").distinct()), "node", "left_anti"))
+        met = materialize(met.join(visited.select("node"), "node", "left_anti"))
         if met.isEmpty():
             break
-        frontier = materialize(nodes.join(bounded_broadcast(met), "node").select("id", "node"))
-        visited = materialize(visited.unionByName(frontier))
+        frontier = materialize(nodes.join(met, "node").select("id", "node"))
+        visited = visited.unionByName(frontier)
         discard(reached)
-    if depth > 1:
-        discard(steps)
-    mine = materialize(entities.join(bounded_broadcast(visited.select("id").distinct()), "id", "left_semi"))
-    return graph_view(bounded_broadcast(mine), relations)
+    mine = materialize(entities.join(visited.select("id"), "id", "left_semi"))
+    return graph_view(mine, relations)
 
 
 def shortest_path(entities: DataFrame, relations: DataFrame, start: str, end: str, max_depth: int = 5) -> DataFrame | None:
@@ -77,22 +75,22 @@ def shortest_path(entities: DataFrame, relations: DataFrame, start: str, end: st
         return None
     if start == end:
         return spark.createDataFrame([], schema)
-    steps = materialize(_steps(relations))
-    frontier = frontier.filter(F.col("node") == start)
-    visited, levels = frontier.select("node").distinct(), []
+    ends = settled(relations.select("id", "subject_id", "predicate", "object_id"))
+    steps, frontier = _steps(ends), frontier.filter(F.col("node") == start)
+    visited, levels = frontier.select("node"), []
     for _ in range(max_depth):
         parents = frontier.select(F.col("id").alias("at"), F.col("node").alias("parent"))
-        reached = materialize(steps.join(bounded_broadcast(parents), "at").groupBy(F.col("next").alias("id")).agg(F.min("parent").alias("parent")))
-        met = nodes.join(bounded_broadcast(reached), "id").groupBy("node").agg(F.min("parent").alias("parent"))
-        level = materialize(met.join(bounded_broadcast(visited), "node", "left_anti"))
+        reached = materialize(steps.join(parents, "at").groupBy(F.col("next").alias("id")).agg(F.min("parent").alias("parent")))
+        met = nodes.join(reached, "id").groupBy("node").agg(F.min("parent").alias("parent"))
+        level = materialize(met.join(visited, "node", "left_anti"))
         discard(reached)
         levels.append(level)
         if not level.filter(F.col("node") == end).isEmpty():
             break
         if level.isEmpty():
             return None
-        frontier = materialize(nodes.join(bounded_broadcast(level.select("node")), "node").select("id", "node"))
-        visited = materialize(visited.unionByName(level.select("node")))
+        frontier = materialize(nodes.join(level.select("node"), "node").select("id", "node"))
+        visited = visited.unionByName(level.select("node"))
     else:
         return None
     hops, node = [], end
@@ -100,13 +98,13 @@ def shortest_path(entities: DataFrame, relations: DataFrame, start: str, end: st
         parent = level.filter(F.col("node") == node).first()["parent"]
         hops.append((parent, node))
         node = parent
-    for table in (steps, *levels):
-        discard(table)
+    for level in levels:
+        discard(level)
     hops = hops[::-1]
     wanted = spark.createDataFrame([(i, *ends, ahead) for i, (a, b) in enumerate(hops) for ends, ahead in (((a, b), 0), ((b, a), 1))], "step int, subject string, object string, back int")
-    ends = [F.col(f"w.{c}") == F.col(f"e.{c}") for c in ("subject", "object")]
-    mine = bounded_broadcast(materialize(entities.filter(F.col("canonical_name").isin(start, *(b for _, b in hops)))))
-    edges = named_relations(relations, mine).select("subject", "object", "predicate", "id")
-    found = edges.alias("e").join(F.broadcast(wanted).alias("w"), ends)
+    same = [F.col(f"w.{c}") == F.col(f"e.{c}") for c in ("subject", "object")]
+    mine = materialize(entities.filter(F.col("canonical_name").isin(start, *(b for _, b in hops))))
+    edges = named_relations(ends, mine).select("subject", "object", "predicate", "id")
+    found = edges.alias("e").join(F.broadcast(wanted).alias("w"), same)
     best = found.groupBy("w.step").agg(F.max(F.struct((-F.col("back")).alias("forward"), F.col("e.id"), F.col("e.subject"), F.col("e.predicate"), F.col("e.object"))).alias("b"))
     return best.select("step", "b.subject", "b.predicate", "b.object").orderBy("step")

@@ -53,6 +53,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` itself if it only reads, picks and filters the rows of files, else written, so that reading it again computes nothing again."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return materialize(df) if any(x in plan for x in ("Join", "Aggregate", "Union", "Generate", "Window", "MapInArrow", "LocalRelation")) else df
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`materialize` that no plan reads any more."""
     if path := getattr(df, "_lattice_path", None):

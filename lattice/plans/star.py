@@ -9,14 +9,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Number of each entity type and relation kind; ids are number * 10 ** 12 + key and kind * 10 ** 18 + a * 10 ** 9 + b.
 TYPES = {"region": 1, "nation": 2, "customer": 3, "supplier": 4, "part": 5}
 KINDS = {"located_in": 1, "customer based_in": 2, "supplier based_in": 3, "supplies": 4, "ordered": 5}
 
 
+#: Schemas of the files that were read before, by path; a view over ten files then opens none of them to be planned.
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def entity_id(kind: str, key: Column) -> Column:
