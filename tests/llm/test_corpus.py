@@ -329,7 +329,7 @@ def test_score_against_enumerated_states(spark):
 
 
 def test_classes_grow_with_the_vocabulary(spark):
-    vocab = spark.range(800_000).selectExpr("CAST(CAST(id AS STRING) AS BINARY) AS word", "1L AS c")
+    vocab = spark.range(400_000).selectExpr("CAST(CAST(id AS STRING) AS BINARY) AS word", "1L AS c")
     large, small = hmm.lexicon(vocab, top=100), hmm.lexicon(vocab.limit(50), top=100)
     assert (small.own, small.rare) == (4096, 1024)
     assert (large.own, large.rare) == (6250, 1562)
