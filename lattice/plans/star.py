@@ -59,7 +59,7 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, customer, supplier = (table(spark, sf_dir, t) for t in ("nation", "customer", "supplier"))
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     supplies = lines.groupBy("l_suppkey", "l_partkey").agg(F.min("l_orderkey").alias("evidence"))
-    ordered = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_partkey").agg(F.min("l_orderkey").alias("evidence"))
+    ordered = lines.join(orders.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_partkey").agg(F.min("l_orderkey").alias("evidence"))
     c, e = F.col, entity_id
     out = row(nation, "located_in", e("nation", c("n_nationkey")), "located_in", e("region", c("n_regionkey")), _relation_id("located_in", c("n_nationkey")), none, 1.0)
     out = out.unionByName(row(customer, "customer", e("customer", c("c_custkey")), "based_in", e("nation", c("c_nationkey")), _relation_id("customer based_in", c("c_custkey")), none, 0.9))

@@ -2,6 +2,7 @@
 
 import io
 import json
+import re
 import xml.etree.ElementTree as ET
 
 import pytest
@@ -136,6 +137,26 @@ def test_graphml_reserved_keys(spark, seeded):
     assert ET.fromstring(text) is not None
 
 
+def operators_of(df):
+    """The names of the physical operators, as planned where no table may be broadcast."""
+    return set(re.findall(r"(\w+)", df._jdf.queryExecution().executedPlan().toString()))
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_graphml_edges_sort_once(spark, seeded, no_broadcast):
+    """The edge of largest id of a pair, of known ends only; the relations are neither sorted to be joined nor aggregated as text."""
+    more = spark.createDataFrame([(9, 1, "left", 3, None, 1, None, "{}", "t"), (8, 1, "joined", 3, None, 1, 0.5, "{}", "t"), (10, 3, "hired", 1, None, 1, 0.25, "{}", "t"), (11, 1, "knows", 77, None, 1, 1.0, "{}", "t")], seeded.relations.schema)
+    edges = export.graphml_edges(seeded.relations.unionByName(more), seeded.entities)
+    assert {tuple(r) for r in edges.collect()} == {("1", "3", "left", ""), ("3", "1", "hired", "0.25"), ("2", "4", "works_at", "0.9"), ("1", "5", "leads", "0.9"), ("4", "5", "runs", "")}
+    assert not {"SortMergeJoin", "SortAggregate"} & operators_of(edges)
+
+
 def test_components(spark):
     edges = [(1, 2), (3, 2), (10, 11), (5, 5), (11, 12), (12, 13), (13, 14), (14, 15), (None, 4)]
     found = connected_components(spark.createDataFrame(edges, "u long, v long"))
