@@ -73,8 +73,8 @@ def frequent_surface(mentions: DataFrame) -> DataFrame:
 def dedupe_relations(relations: DataFrame) -> DataFrame:
     """One relation, of least id, for each (subject, predicate, object, evidence); null evidences are equal.
 
-    The rows are read twice: the least ids are aggregated by hash, without the other columns, and pick the rows by id.
+    The rows are read once. Each other column is an aggregate of its own: one that isn't used is not carried, and numbers are aggregated by hash.
     """
     keys = ["subject_id", "predicate", "object_id", "evidence_chunk_id"]
-    least = relations.groupBy(*keys).agg(F.min("id").alias("id")).select("id")
-    return relations.join(least, "id", "left_semi").select(*relations.columns)
+    others = [F.min_by(c, "id").alias(c) for c in relations.columns if c not in ("id", *keys)]
+    return relations.filter("id IS NOT NULL").groupBy(*keys).agg(F.min("id").alias("id"), *others).select(*relations.columns)

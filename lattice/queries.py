@@ -112,7 +112,7 @@ def most_frequent_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
 def relation_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' relations repointed to one customer per nation, without evidence, so that many become equal."""
     customer = star.table(spark, sf_dir, "customer").select(star.entity_id("customer", F.col("c_custkey")).alias("subject_id"), star.entity_id("nation", F.col("c_nationkey")).alias("to"))
-    repointed = star.relations(spark, sf_dir).join(customer, "subject_id").select("id", F.col("to").alias("subject_id"), "predicate", "object_id", F.lit(None).cast("long").alias("evidence_chunk_id"), "confidence")
+    repointed = star.relations(spark, sf_dir).join(customer.hint("shuffle_hash"), "subject_id").select("id", F.col("to").alias("subject_id"), "predicate", "object_id", F.lit(None).cast("long").alias("evidence_chunk_id"), "confidence")
     return stats.dedupe_relations(repointed)
 
 

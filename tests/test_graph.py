@@ -157,6 +157,17 @@ def test_graphml_edges_sort_once(spark, seeded, no_broadcast):
     assert not {"SortMergeJoin", "SortAggregate"} & operators_of(edges)
 
 
+def test_relations_deduplicated_in_one_pass(spark, seeded, no_broadcast):
+    """The row of least id of each key, with its own values, nulls included; the rows are read once and numbers never sorted."""
+    rows = [(5, 1, "p", 2, None, 1, None, "five", "t"), (7, 1, "p", 2, None, 2, 0.5, "seven", "u"), (3, 1, "p", 2, 9, 3, 0.25, "three", "v"), (2, 2, "p", 1, None, 4, float("nan"), None, "w"), (4, 2, "p", 1, None, 5, 1.0, "four", "x")]
+    relations = spark.createDataFrame(rows, seeded.relations.schema)
+    found = stats.dedupe_relations(relations)
+    assert found.columns == relations.columns
+    assert {(r.id, r.attributes, str(r.confidence), r.evidence_chunk_id) for r in found.collect()} == {(5, "five", "None", None), (3, "three", "0.25", 9), (2, None, "nan", None)}
+    few = found.select("id", "subject_id", "predicate", "object_id", "evidence_chunk_id", "confidence")
+    assert not {"SortMergeJoin", "BroadcastHashJoin", "SortAggregate"} & operators_of(few)
+
+
 def test_components(spark):
     edges = [(1, 2), (3, 2), (10, 11), (5, 5), (11, 12), (12, 13), (13, 14), (14, 15), (None, 4)]
     found = connected_components(spark.createDataFrame(edges, "u long, v long"))
