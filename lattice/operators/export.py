@@ -43,12 +43,22 @@ def cypher_props(members: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(inside, ", "), F.lit("}"))
 
 
+def _confidence_text() -> Column:
+    """The confidence as a number, or null where there is none."""
+    return F.when(~F.isnan("confidence"), F.col("confidence").cast("double").cast("string"))
+
+
 def _confidence(key: str) -> Column:
     """A member of the confidence, where there is one."""
-    some = F.array(member(key, F.col("confidence").cast("double").cast("string"), "plain"))
+    some = F.array(member(key, _confidence_text(), "plain"))
     return F.when(F.col("confidence").isNotNull() & ~F.isnan("confidence"), some).otherwise(F.array().cast(MEMBERS))
 
 
+def _bare() -> Column:
+    """Whether a row has no attributes: its text is then put together without any parsing or merging of members."""
+    return F.col("attributes").isNull() | (F.col("attributes") == "{}")
+
+
 def cypher_lines(entities: DataFrame, relations: DataFrame) -> DataFrame:
     """(kind, id, line): a CREATE statement for each entity, then for each relation whose ends exist."""
     label = F.replace("entity_type", F.lit(" "), F.lit("_"))
@@ -56,7 +66,8 @@ def cypher_lines(entities: DataFrame, relations: DataFrame) -> DataFrame:
     nodes = entities.select(F.lit("entity").alias("kind"), "id", F.concat(F.lit("CREATE (e"), F.col("id").cast("string"), F.lit(":"), label, F.lit(" "), cypher_props(props), F.lit(");")).alias("line"))
     kind = F.replace(F.upper("predicate"), F.lit(" "), F.lit("_"))
     told = joined(_members(F.col("attributes")), _confidence("confidence"))
-    more = F.when(F.size(told) > 0, F.concat(F.lit(" "), cypher_props(told))).otherwise("")
+    own = F.coalesce(F.concat(F.lit(" {confidence: "), _confidence_text(), F.lit("}")), F.lit(""))
+    more = F.when(_bare(), own).when(F.size(told) > 0, F.concat(F.lit(" "), cypher_props(told))).otherwise("")
     text = F.concat(F.lit("CREATE (e"), F.col("subject_id").cast("string"), F.lit(")-[:"), kind, more, F.lit("]->(e"), F.col("object_id").cast("string"), F.lit(");"))
     return nodes.unionByName(_with_ends(relations, entities).select(F.lit("relation").alias("kind"), "id", text.alias("line")))
 
@@ -92,7 +103,11 @@ def jsonld_nodes(entities: DataFrame) -> DataFrame:
 def jsonld_edges(relations: DataFrame, entities: DataFrame) -> DataFrame:
     """(id, edge): a JSON-LD object for each relation whose ends exist."""
     own = F.array(member("@type", F.lit("kg:Relation")), member("kg:subject", _iri("subject_id")), member("kg:predicate", F.col("predicate")), member("kg:object", _iri("object_id")))
-    edge = _object(own, _confidence("kg:confidence"), _prefixed(F.col("attributes")))
+    whole = _object(own, _confidence("kg:confidence"), _prefixed(F.col("attributes")))
+    told = F.coalesce(F.concat(F.lit(', "kg:confidence": '), _confidence_text()), F.lit(""))
+    ends = [F.concat(F.lit(f', "kg:{end}": "kg:entity/'), F.col(f"{end}_id").cast("string"), F.lit('"')) for end in ("subject", "object")]
+    bare = F.concat(F.lit('{"@type": "kg:Relation"'), ends[0], F.lit(', "kg:predicate": '), json_string(F.col("predicate"), True), ends[1], told, F.lit("}"))
+    edge = F.when(_bare(), bare).otherwise(whole)
     return _with_ends(relations, entities).select("id", edge.alias("edge"))
 
 

@@ -3,9 +3,11 @@
 import io
 import json
 import re
+import time
 import xml.etree.ElementTree as ET
 
 import pytest
+from pyspark.sql import functions as F
 
 from lattice import cli, server, service
 from lattice.operators import export, resolve, stats
@@ -168,6 +170,26 @@ def test_relations_deduplicated_in_one_pass(spark, seeded, no_broadcast):
     assert not {"SortMergeJoin", "BroadcastHashJoin", "SortAggregate"} & operators_of(few)
 
 
+def test_edges_without_attributes_are_not_parsed(spark, seeded, no_broadcast):
+    """Edges without attributes are the text that the general way gives, in less than half of its time, and aren't sorted to be joined."""
+    odd = [(1, 1, 'a "b"\\\né', 3, 1, 1, 0.9, "{}", "t"), (2, 2, "p q", 4, 2, 1, None, "{}", "t"), (3, 1, "", 5, 1, 1, float("nan"), "{}", "t"), (4, 1, "p", 77, 1, 1, 1.0, "{}", "t"), (5, 1, None, 3, 1, 1, 1e-7, "{}", "t")]
+    bare = spark.createDataFrame(odd, seeded.relations.schema)
+    for attributes in ("{ }", None):
+        spaced = bare.withColumn("attributes", F.lit(attributes).cast("string"))
+        assert sorted(map(str, export.jsonld_edges(bare, seeded.entities).collect())) == sorted(map(str, export.jsonld_edges(spaced, seeded.entities).collect()))
+        assert sorted(map(str, export.cypher_lines(seeded.entities, bare).collect())) == sorted(map(str, export.cypher_lines(seeded.entities, spaced).collect()))
+    assert "SortMergeJoin" not in operators_of(export.jsonld_edges(bare, seeded.entities)) | operators_of(export.cypher_lines(seeded.entities, bare))
+    many = spark.range(100_000).select("id", F.lit(1).cast("long").alias("subject_id"), F.lit("p").alias("predicate"), F.lit(3).cast("long").alias("object_id"), F.lit(0.5).alias("confidence"))
+
+    def seconds(attributes):
+        begun = time.perf_counter()
+        text = F.when(F.col("id") >= 0, attributes)  # no constant
+        export.jsonld_edges(many.withColumn("attributes", text), seeded.entities).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - begun
+
+    assert min(seconds("{}") for _ in range(3)) < min(seconds("{ }") for _ in range(3)) / 2
+
+
 def test_components(spark):
     edges = [(1, 2), (3, 2), (10, 11), (5, 5), (11, 12), (12, 13), (13, 14), (14, 15), (None, 4)]
     found = connected_components(spark.createDataFrame(edges, "u long, v long"))
