@@ -190,6 +190,16 @@ def test_edges_without_attributes_are_not_parsed(spark, seeded, no_broadcast):
     assert min(seconds("{}") for _ in range(3)) < min(seconds("{ }") for _ in range(3)) / 2
 
 
+def test_type_pairs_hold_no_relations(spark, seeded, no_broadcast):
+    """Relations with unknown ends don't count; before the last aggregate nothing is sorted or counted, so a task holds entities only."""
+    rows = [(10 + i, 1 + i % 2, "knows", 3 + i % 3, None, 1, None, "{}", "t") for i in range(30)] + [(90, 1, "knows", 77, None, 1, None, "{}", "t"), (91, 77, "knows", 1, None, 1, None, "{}", "t")]
+    pairs = stats.type_pairs(spark.createDataFrame(rows, seeded.relations.schema), seeded.entities)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()  # before it runs; it is then told twice
+    assert {tuple(r) for r in pairs.collect()} == {("knows", "Person", "Organization", 20), ("knows", "Person", "Project", 10)}
+    assert "SortMergeJoin" not in plan
+    assert plan.count("HashAggregate") == 2
+
+
 def test_components(spark):
     edges = [(1, 2), (3, 2), (10, 11), (5, 5), (11, 12), (12, 13), (13, 14), (14, 15), (None, 4)]
     found = connected_components(spark.createDataFrame(edges, "u long, v long"))
