@@ -17,6 +17,8 @@ from lattice.schemas import Graph
 
 #: Vectors in one block of the self-join; two blocks meet in a task.
 BLOCK_ROWS = 4096
+#: Similarities that a task holds at once, 8 MB: two blocks meet in strips of so many.
+STRIP = 1 << 20
 
 
 def nearest(vectors: DataFrame, key: str, query: Sequence[float], k: int, vector_col: str = "embedding") -> DataFrame:
@@ -66,11 +68,13 @@ class _Pairs:
             return
         within = not len(right)
         right = left if within else right
-        sims = unit[left] @ unit[right].T
-        i, j = np.nonzero(sims >= self.threshold)
-        a, b = ids[left][i], ids[right][j]
-        ok = (a < b) if within else np.ones(len(a), bool)
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[ok]), pa.array(np.maximum(a, b)[ok]), pa.array(sims[i, j][ok])], ["a", "b", "similarity"])
+        others, rows = unit[right].T, max(1, STRIP // len(right))
+        for strip in (left[at : at + rows] for at in range(0, len(left), rows)):
+            sims = unit[strip] @ others
+            i, j = np.nonzero(sims >= self.threshold)
+            a, b = ids[strip][i], ids[right][j]
+            ok = (a < b) if within else np.ones(len(a), bool)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[ok]), pa.array(np.maximum(a, b)[ok]), pa.array(sims[i, j][ok])], ["a", "b", "similarity"])
 
 
 def _unit(vectors: pa.ListArray) -> np.ndarray:

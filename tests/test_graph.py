@@ -4,15 +4,18 @@ import io
 import json
 import re
 import time
+import tracemalloc
 import xml.etree.ElementTree as ET
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lattice import cli, server, service
 from lattice.operators import export, resolve, stats
 from lattice.operators.components import connected_components
-from lattice.operators.search import nearest, similar_links, similar_pairs
+from lattice.operators.search import _Pairs, nearest, similar_links, similar_pairs
 from lattice.sources.models import HashEmbedder
 
 
@@ -228,6 +231,21 @@ def test_similar_pairs_in_blocks(spark):
         assert {(r.a, r.b) for r in similar_pairs(df, "id", 0.7, "kind", block_rows=block).collect()} == expected
 
 
+def test_blocks_meet_in_strips():
+    """Two whole blocks, or one with itself: all pairs, and far less memory than a similarity for each."""
+    rng = np.random.default_rng(3)
+    unit = rng.normal(size=(6000, 8))
+    unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+    for side in (np.zeros(6000, np.int32), (np.arange(6000) >= 3000).astype(np.int32)):
+        batch = pa.RecordBatch.from_arrays([pa.array(["0:x"] * 6000), pa.array(side), pa.array(np.arange(6000)), pa.array(list(unit))], ["key", "side", "id", "vector"])
+        tracemalloc.start()
+        found = {(a, b) for out in _Pairs(0.95)([batch]) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)}
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found == {(a, b) for a in range(6000) for b in (a + 1 + np.flatnonzero(unit[a + 1 :] @ unit[a] >= 0.95)).tolist() if not side.any() or side[a] != side[b]}
+        assert peak < 50_000_000
+
+
 def test_links_of_equal_vectors_are_few(spark):
     """Repeats of a vector add a link each; components are those of all pairs, whatever the threshold."""
     rows = [(i, [1.0, 0.0], "x") for i in range(40)] + [(100 + i, [0.0, 0.0], "x") for i in range(5)] + [(200, [0.9, 0.1], "x"), (201, [0.0, 1.0], "x"), (202, [0.0, 1.0], "x"), (300, [1.0, 0.0], "y"), (301, [1.0, 0.0], None)]
