@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattice.functions.jsons import MEMBERS, joined, json_members, json_string, member, value_text
+from lattice.plans.materialize import spread
+
 #: Keys of a GraphML node that an attribute may not take.
 RESERVED = ("label", "entity_type")
 IRI = "https://lattice.local/"
@@ -131,10 +133,11 @@ def cypher(entities: DataFrame, relations: DataFrame) -> Iterator[str]:
 def graphml_edges(relations: DataFrame, entities: DataFrame) -> DataFrame:
     """(source, target, predicate, confidence): the edge of largest id of each ordered pair; no confidence is empty.
 
-    One sort serves the whole choice: an aggregate of text would sort the rows before and after it is combined.
+    One sort serves the whole choice: an aggregate of text would sort the rows before and after it is combined. A task sorts a bounded share.
     """
     rank = F.row_number().over(Window.partitionBy("subject_id", "object_id").orderBy(F.desc("id")))
-    best = _with_ends(relations.select("id", "subject_id", "predicate", "object_id", "confidence"), entities).withColumn("_rank", rank).filter("_rank = 1")
+    known = _with_ends(relations.select("id", "subject_id", "predicate", "object_id", "confidence"), entities)
+    best = spread(known, "subject_id", "object_id").withColumn("_rank", rank).filter("_rank = 1")
     confidence = F.coalesce(F.col("confidence").cast("string"), F.lit(""))
     return best.select(F.col("subject_id").cast("string").alias("source"), F.col("object_id").cast("string").alias("target"), "predicate", confidence.alias("confidence"))
 

@@ -23,6 +23,9 @@ BROADCAST_ROWS = 1_000_000
 #: Bytes it may have, counted over its text, binary and array columns.
 BROADCAST_BYTES = 1 << 27
 
+#: Bytes of input for which :func:`spread` makes a partition.
+SPREAD_BYTES = 1 << 22
+
 #: A key is heavy when it has over 1/HEAVY of all rows, so there are fewer than HEAVY heavy keys.
 HEAVY = 1_000
 
@@ -100,6 +103,17 @@ def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BRO
     return F.broadcast(df) if n <= rows and held <= most else df
 
 
+def spread(df: DataFrame, *keys: str, most: int = SPREAD_BYTES) -> DataFrame:
+    """``df`` dealt by the keys into a partition for every ``most`` bytes of the files that it reads, if these are more than the session's partitions.
+
+    What a task sorts then stays the same when the files grow. Leaves of unknown size count nothing.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    n = sum(x for x in sizes if x < 1 << 50) // most
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def heavy_keys(counts: DataFrame, key: str, n: str) -> DataFrame:
     """Keys with over 1/HEAVY of the sum of ``n``: fewer than HEAVY rows, whatever the data."""
     total = counts.agg(F.coalesce(F.sum(n), F.lit(0)).alias("_total")).first()["_total"]

@@ -16,6 +16,7 @@ from lattice import cli, server, service
 from lattice.operators import export, resolve, stats
 from lattice.operators.components import connected_components
 from lattice.operators.search import _Pairs, nearest, similar_links, similar_pairs
+from lattice.plans.materialize import spread
 from lattice.sources.models import HashEmbedder
 
 
@@ -162,6 +163,20 @@ def test_graphml_edges_sort_once(spark, seeded, no_broadcast):
     assert not {"SortMergeJoin", "SortAggregate"} & operators_of(edges)
 
 
+def test_spread_by_the_bytes_of_the_files(spark, tmp_path):
+    """More files make more partitions, not larger ones; few or unknown bytes leave the rows as they are."""
+    spark.range(20_000).selectExpr("id AS a", "id % 7 AS b").coalesce(1).write.parquet(str(tmp_path / "t"))
+    one = spark.read.parquet(str(tmp_path / "t"))
+    held = sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet"))
+    for df, times in ((one, 1), (one.unionByName(one), 2)):
+        n = spread(df, "a", most=held // 10).rdd.getNumPartitions()
+        assert 10 * times <= n <= 11 * times
+        assert spread(df, "a", most=held // 10).count() == 20_000 * times
+    known = spark.createDataFrame([(1,)], "a long")
+    assert spread(one, "a", most=held) is one
+    assert spread(known, "a", most=1) is known
+
+
 def test_relations_deduplicated_in_one_pass(spark, seeded, no_broadcast):
     """The row of least id of each key, with its own values, nulls included; the rows are read once and numbers never sorted."""
     rows = [(5, 1, "p", 2, None, 1, None, "five", "t"), (7, 1, "p", 2, None, 2, 0.5, "seven", "u"), (3, 1, "p", 2, 9, 3, 0.25, "three", "v"), (2, 2, "p", 1, None, 4, float("nan"), None, "w"), (4, 2, "p", 1, None, 5, 1.0, "four", "x")]
